@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, sharding, sql
+from . import chat, decontamination, mixing, quality, secrets, sharding, sql
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,27 @@ def op2_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(docs).select("doc_id", "shard_slot", "shard")
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    joined = lambda keep: F.array_join(F.transform(F.filter("spans", keep), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, secrets.KINDS), F.sha2(joined(lambda s: s["kind"] != "format").cast("binary"), 256).alias("base_sha256"), joined(lambda s: F.lit(True)).alias("spans"), "n_candidates")
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    said = F.lit(chat.END + chat.START + "assistant ok")
+    own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
+    rows = rows.unionByName(own).withColumn("record", F.to_json(F.struct("conv_id", "turn", "role", "text"), {"ignoreNullFields": "false"}))
+    turns = chat.canonical_turns(rows, "record", "conv_id", "turn")
+    return chat.digest(chat.format_turns(turns)).withColumnRenamed("key", "conv_id")
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return quality.apply_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark")
     return decontamination.find_contained(docs, items)
@@ -32,12 +53,17 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_shard": op2_shard,
+    "op5_secrets": op5_secrets,
+    "op7_chat": op7_chat,
+    "op8_quality": op8_quality,
     "op9_decontaminate": op9_decontaminate,
     "op10_mix": op10_mix,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_shard": sql.shard_sql(),
+    "op7_chat": sql.CHAT,
+    "op8_quality": sql.QUALITY,
     "op9_decontaminate": sql.DECONTAMINATE,
     "op10_mix": sql.MIX,
 }

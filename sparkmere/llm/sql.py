@@ -63,3 +63,34 @@ SELECT doc_id, size, source_size, target, whole * size + more AS taken,
   whole + CASE WHEN more >= size AND size > 0 THEN 1 ELSE 0 END AS copies,
   CASE WHEN more >= size AND size > 0 THEN 0 ELSE more END AS part FROM m
 """
+
+QUALITY = r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3),
+k AS (SELECT r, i, count(*) OVER (PARTITION BY r, w[i], w[i+1], w[i+2]) AS n FROM g),
+p AS (SELECT DISTINCT r, unnest([i, i + 1, i + 2]) AS i FROM k WHERE n > 1),
+rw AS (SELECT r, count(*) AS n_repeat_words FROM p GROUP BY r),
+ln AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
+dl AS (SELECT r, sum(n - 1) AS n_dup_lines FROM (SELECT r, line, count(*) AS n FROM ln WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r, line) GROUP BY r),
+m AS (SELECT d.doc_id, d.source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
+  CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words FROM d LEFT JOIN rw USING (r) LEFT JOIN dl USING (r)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
+h AS (SELECT source, count(*) AS n_docs, count(*) FILTER (base_failed) AS n_failed FROM f GROUP BY source),
+a AS (SELECT avg(n_failed / n_docs) AS mu, coalesce(var_samp(n_failed / n_docs), 0) AS v FROM h),
+b AS (SELECT mu, greatest(1.0, least(1000.0, CASE WHEN v > 0 AND mu * (1 - mu) > 0 THEN mu * (1 - mu) / v - 1 ELSE 1000.0 END)) AS wt FROM a),
+s AS (SELECT source, (n_failed + mu * wt) / (n_docs + wt) AS rate, n_docs + wt + 1 AS size FROM h, b)
+SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT (rate - 2.0 * sqrt(rate * (1 - rate) / size) > 0.5) AS kept
+FROM f JOIN s ON f.source IS NOT DISTINCT FROM s.source
+"""
+
+CHAT = r"""
+WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+e AS (SELECT *, CASE WHEN role = 'assistant' THEN text ELSE '' END AS loss,
+  length('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10)) + len(regexp_extract_all(text, '<\\*\|')) AS n FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  CAST(sum(length(loss)) AS BIGINT) AS loss_chars, sha256(string_agg(loss, '' ORDER BY turn)) AS loss_sha256, CAST(sum(n) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
