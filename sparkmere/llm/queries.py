@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, mixing, quality, secrets, sharding, sql
+from . import chat, decontamination, mixing, quality, secrets, sharding, sql, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,13 @@ def op2_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(docs).select("doc_id", "shard_slot", "shard")
 
 
+def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ordered = tokens.training_order(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kind = dict(ordered.dtypes)["id"]
+    read = ordered.mapInArrow(tokens.shard_bytes, f"id {kind}, part long, n_tokens long, number long, slot long, shard long, record long, read_tokens long, ids_md5 string")
+    return read.withColumnRenamed("id", "doc_id")
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     joined = lambda keep: F.array_join(F.transform(F.filter("spans", keep), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
@@ -53,6 +60,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_shard": op2_shard,
+    "op3_tokens": op3_tokens,
     "op5_secrets": op5_secrets,
     "op7_chat": op7_chat,
     "op8_quality": op8_quality,
