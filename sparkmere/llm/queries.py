@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, mixing, quality, secrets, sharding, sql, tokens
+from . import chat, decontamination, mixing, neardup, quality, secrets, sharding, sql, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, secrets.KINDS), F.sha2(joined(lambda s: s["kind"] != "format").cast("binary"), 256).alias("base_sha256"), joined(lambda s: F.lit(True)).alias("spans"), "n_candidates")
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
     said = F.lit(chat.END + chat.START + "assistant ok")
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_shard": op2_shard,
     "op3_tokens": op3_tokens,
     "op5_secrets": op5_secrets,
+    "op6_near_duplicates": op6_near_duplicates,
     "op7_chat": op7_chat,
     "op8_quality": op8_quality,
     "op9_decontaminate": op9_decontaminate,
