@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, mixing, neardup, quality, secrets, sharding, sql, tokens
+from . import chat, decontamination, mixing, neardup, quality, repeats, secrets, sharding, sql, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.withColumnRenamed("id", "doc_id")
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeated_passages(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     joined = lambda keep: F.array_join(F.transform(F.filter("spans", keep), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
@@ -65,6 +69,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_shard": op2_shard,
     "op3_tokens": op3_tokens,
+    "op4_repeats": op4_repeats,
     "op5_secrets": op5_secrets,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_chat": op7_chat,
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_shard": sql.shard_sql(),
+    "op4_repeats": sql.REPEATS,
     "op7_chat": sql.CHAT,
     "op8_quality": sql.QUALITY,
     "op9_decontaminate": sql.DECONTAMINATE,

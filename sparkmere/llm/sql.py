@@ -94,3 +94,13 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   CAST(sum(length(loss)) AS BIGINT) AS loss_chars, sha256(string_agg(loss, '' ORDER BY turn)) AS loss_sha256, CAST(sum(n) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id
 """
+
+REPEATS = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+g AS (SELECT doc_id, i, md5(array_to_string(w[i + 1:i + 50], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(0, len(w) - 49)) AS i FROM d WHERE len(w) >= 50)),
+k AS (SELECT h FROM g GROUP BY h HAVING min(doc_id) < max(doc_id)),
+p AS (SELECT DISTINCT doc_id, i FROM g JOIN k USING (h)),
+f AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS new FROM p),
+s AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM f)
+SELECT doc_id, CAST(min(i) AS BIGINT) AS start, CAST(max(i) + 50 AS BIGINT) AS stop, CAST(max(i) + 50 - min(i) AS BIGINT) AS n_words FROM s GROUP BY doc_id, island
+"""
