@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, mixing, neardup, quality, repeats, secrets, sharding, sql, tokens
+from . import chat, decontamination, hpylm, mixing, neardup, quality, repeats, secrets, sharding, sql, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hpylm.score_corpus(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id")
     return sharding.assign_shards(docs).select("doc_id", "shard_slot", "shard")
@@ -67,6 +71,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_score": op1_lm_score,
     "op2_shard": op2_shard,
     "op3_tokens": op3_tokens,
     "op4_repeats": op4_repeats,
