@@ -1,7 +1,7 @@
 """Token-ID output in training order: every sequence gets a global slot by a keyed permutation.
 
 Texts become token IDs of a public byte-level vocabulary, each text with an end token, cut into sequences of a fixed
-length, the last one padded. Sequences are numbered in the order of (id, part); a Feistel permutation with
+length, the last one padded. Sequences are numbered in the input's order; a Feistel permutation with
 cycle-walking takes number to slot. Slots are dealt to shards by range, so a shard is a run of fixed-stride records:
 record r of shard s is at byte r * stride, and a reader that knows its slot resumes there.
 """
@@ -16,6 +16,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,12 +102,13 @@ def worker_encoder(vocabulary: str) -> Encoder:
 
 
 def sequences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", seq_len: int = SEQ_LEN, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Rows (id, part, n_tokens, ids): ids is little-endian uint16, `seq_len` of them, padded with 65535."""
+    """Rows (dealt, row, id, part, n_tokens, ids): ids is little-endian uint16, `seq_len` of them, padded with 65535; dealt
+    is the partition that a row comes from and row its place there."""
     kind = dict(docs.dtypes)[id_col]
-    names = ["id", "part", "n_tokens", "ids"]
+    names = ["dealt", "row", "id", "part", "n_tokens", "ids"]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_encoder(vocabulary)
+        encoder, dealt, done = worker_encoder(vocabulary), TaskContext.get().partitionId(), 0
         for whole in batches:
             sizes = np.cumsum(pc.fill_null(pc.binary_length(whole.column("_text")), 0).to_numpy(zero_copy_only=False))
             cuts = np.unique(np.append(np.searchsorted(sizes, np.arange(1, sizes[-1] // BATCH_BYTES + 1) * BATCH_BYTES) + 1, len(whole))) if len(whole) else []
@@ -121,10 +123,12 @@ def sequences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
                 part = np.arange(int(parts.sum())) - np.repeat(base, parts)
                 tokens = np.minimum(np.repeat(n + 1, parts) - part * seq_len, seq_len)
                 ids = pa.Array.from_buffers(pa.binary(2 * seq_len), int(parts.sum()), [None, pa.py_buffer(out)]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("_id").take(pa.array(np.repeat(np.arange(len(batch)), parts))), pa.array(part), pa.array(tokens), ids], names=names)
+                row = done + np.arange(len(part))
+                done += len(part)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), dealt, np.int64)), pa.array(row), batch.column("_id").take(pa.array(np.repeat(np.arange(len(batch)), parts))), pa.array(part), pa.array(tokens), ids], names=names)
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    return rows.mapInArrow(encode, f"id {kind}, part long, n_tokens long, ids binary")
+    return rows.mapInArrow(encode, f"dealt long, row long, id {kind}, part long, n_tokens long, ids binary")
 
 
 def round_keys(key: str = KEY, rounds: int = ROUNDS) -> list[int]:
@@ -157,43 +161,22 @@ def permute(numbers: DataFrame, n: int, number_col: str = "number", key: str = K
     return first.withColumn("slot", again)
 
 
-def number_rows(counts: DataFrame, order: list[str], size_col: str) -> DataFrame:
-    """`counts` with base: the sum of `size_col` over the rows before, in the order of `order`.
-
-    Range partitions are summed apart, and one sum a partition goes through the driver's plan, so no task sees all rows.
-    """
-    from pyspark.sql import Window
-
-    dealt = materialise(counts.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "order")
-    sums = dealt.groupBy("_p").agg(F.sum(size_col).alias("_s"), F.min(F.struct(*order)).alias("_o"))
-    ahead = F.coalesce(F.sum("_s").over(Window.orderBy("_o").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = sums.select("_p", ahead.alias("_ahead"))
-    within = F.coalesce(F.sum(size_col).over(Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return dealt.withColumn("_w", within).join(F.broadcast(sums), "_p").withColumn("base", F.col("_ahead") + F.col("_w")).drop("_p", "_w", "_ahead")
-
-
 def training_order(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", seq_len: int = SEQ_LEN, shard_records: int = SHARD_RECORDS, key: str = KEY, vocabulary: str = VOCABULARY) -> DataFrame:
     """Rows (id, part, n_tokens, ids, number, slot, shard, record), range-partitioned and sorted by slot.
 
-    Null text is the empty text: a sequence with the end token alone. Rows that repeat an id are told apart by their
-    tokens; equal rows get neighbouring numbers. A null id comes first. An empty table gives an empty result. The same
-    documents, key and lengths give the same slots, however the input is partitioned.
+    Numbers follow the input's partitions and the rows within them, so the payload is shuffled once, to its slots; sort
+    the input by id for an order that doesn't depend on how it is partitioned. Null text is the empty text: a sequence
+    with the end token alone. Null and repeated ids, and repeated rows, are kept like others. An empty table gives an
+    empty result. Partitions are numbered by one sum each, which is as many rows as there are input partitions.
     """
-    seqs = materialise(sequences(docs, id_col=id_col, text_col=text_col, seq_len=seq_len, vocabulary=vocabulary).withColumn("_h", F.xxhash64("ids")), "tokens")
-    keys = seqs.groupBy("id", "part", "_h").agg(F.count("*").alias("_n"))
-    numbered = materialise(number_rows(keys, ["id", "part", "_h"], "_n"), "numbers")
-    n = numbered.agg(F.sum("_n")).first()[0] or 0
-    same = numbered.select(F.col("id").alias("_id"), F.col("part").alias("_part"), F.col("_h").alias("_h2"), F.col("_n"), F.col("base"))
-    repeated = same.where("_n > 1").limit(1).count() > 0
-    placed = seqs.join(same, F.col("id").eqNullSafe(F.col("_id")) & (F.col("part") == F.col("_part")) & (F.col("_h") == F.col("_h2")))
-    if repeated:
-        from pyspark.sql import Window
-
-        once = placed.where("_n = 1").withColumn("number", F.col("base"))
-        more = placed.where("_n > 1").withColumn("number", F.col("base") + F.row_number().over(Window.partitionBy("id", "part", "_h").orderBy("_h")) - 1)
-        placed = once.unionByName(more)
-    else:
-        placed = placed.withColumn("number", F.col("base"))
+    from pyspark.sql import Window
+
+    seqs = materialise(sequences(docs, id_col=id_col, text_col=text_col, seq_len=seq_len, vocabulary=vocabulary), "tokens")
+    sums = seqs.groupBy("dealt").agg(F.count("*").alias("_n"))
+    ahead = F.coalesce(F.sum("_n").over(Window.orderBy("dealt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = materialise(sums.select("dealt", "_n", ahead.alias("_base")), "tokens-partitions")
+    n = sums.agg(F.sum("_n")).first()[0] or 0
+    placed = seqs.join(F.broadcast(sums.drop("_n")), "dealt").withColumn("number", F.col("_base") + F.col("row"))
     placed = permute(placed.select("id", "part", "n_tokens", "ids", F.col("number").cast("long").alias("number")), n, "number", key)
     placed = placed.withColumn("shard", F.floor(F.col("slot") / shard_records).cast("long")).withColumn("record", F.pmod("slot", F.lit(shard_records)).cast("long"))
     parts = max(1, -(-n // (4 * shard_records)), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
