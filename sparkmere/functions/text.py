@@ -33,7 +33,7 @@ def shingles(words: Column, n: int = 5) -> Column:
 
 def shingle_hashes(words: Column, n: int = 5) -> Column:
     """64-bit hashes of the different n-grams, sorted."""
-    return F.array_sort(_grams(words, n, F.xxhash64))
+    return F.array_sort(_grams(words, n, lambda x: F.xxhash64(x)))
 
 
 def norm_title(title: Column) -> Column:
