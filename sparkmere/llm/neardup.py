@@ -29,6 +29,8 @@ BANDS, ROWS = 12, 3
 CELLS, IDF_FLOOR = 1 << 16, 0.05
 #: Buckets of up to so many texts have all pairs tried.
 SMALL = 12
+#: A shingle that at most so many of the texts in large buckets have is rare.
+RARE = 8
 #: A pair is verified only if this many of its samples agree; at similarity 0.8 fewer do with a probability of 1e-5.
 AGREE = BANDS * ROWS * 4 // 9
 
@@ -186,8 +188,9 @@ def verify(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFra
     return joined.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, similarity double")
 
 
-def own_mass(ids: DataFrame, texts: DataFrame, idf) -> DataFrame:
-    """(id, total, shared): a text's weight, and the weight of its shingles that another of these texts has too."""
+def own_mass(ids: DataFrame, texts: DataFrame, idf) -> tuple[DataFrame, DataFrame]:
+    """(id, total, shared): a text's weight, and the weight of its shingles that more than RARE of these texts have; and
+    the pairs (a, b) of texts that have a rarer shingle in common, at most RARE texts a shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict = {}
@@ -199,24 +202,29 @@ def own_mass(ids: DataFrame, texts: DataFrame, idf) -> DataFrame:
 
     rows = texts.join(ids, "id", "left_semi").select("id", F.col("text").alias("_text")).mapInArrow(run, "id long, s long, w double")
     rows = materialise(rows, "neardup-mass")
-    lone = rows.groupBy("s").agg(F.count("*").alias("n"), F.max("id").alias("id"), F.max("w").alias("w")).where("n = 1")
-    lone = lone.groupBy("id").agg(F.sum("w").alias("own"))
+    seen = rows.groupBy("s").agg(F.count("*").alias("n"), F.max("id").alias("id"), F.max("w").alias("w")).where(F.col("n") <= RARE)
+    seen = materialise(seen, "neardup-rare")
+    rare = materialise(rows.join(seen.where("n > 1").select("s"), "s"), "neardup-rare-rows")
+    few = seen.where("n = 1").select("id", "w").unionByName(rare.select("id", "w")).groupBy("id").agg(F.sum("w").alias("few"))
     total = rows.groupBy("id").agg(F.sum("w").alias("total"))
-    return total.join(lone, "id", "left").select("id", "total", (F.col("total") - F.coalesce("own", F.lit(0.0))).alias("shared"))
+    mass = total.join(few, "id", "left").select("id", "total", (F.col("total") - F.coalesce("few", F.lit(0.0))).alias("shared"))
+    pairs = rare.select("s", F.col("id").alias("a")).join(rare.select("s", F.col("id").alias("b")), "s").where("a < b").select("a", "b").distinct()
+    return mass, pairs
 
 
 def _links_in_large(large: DataFrame, sigs: DataFrame, reps: DataFrame, idf, threshold: float) -> DataFrame:
     """All links that join buckets of more than SMALL texts need for their classes, without all pairs.
 
-    Bounds first. A link's common weight is at most what either text shares with any of these texts, so similarity is at
-    most m / (Wa + Wb - m), m the less of the shared weights: texts much of whose weight is their own have no link, exactly.
-    Each bucket's leader, the text with the least share of its own, is tried with all others. What is linked so is one
+    Pairs that have a rare shingle in common are few and all tried. Any other link's common weight is at most what either
+    text has in shingles that aren't rare, so its similarity is at most m / (Wa + Wb - m), m the less of those weights:
+    texts much of whose weight is their own have no such link, exactly. Each bucket's leader, the text with the least share of its own, is tried with all others. What is linked so is one
     class and needs no more; the bucket's other texts are then tried with all texts of other classes, as far as the bound
     allows a link. In a group of near copies the leader is next to the original, and few if any are left.
     """
     ids = materialise(large.select("id").distinct(), "neardup-large-ids")
     texts = texts_of(ids, reps)
-    mass = materialise(own_mass(ids, texts, idf).where(F.col("shared") >= F.lit(threshold) * F.col("total")), "neardup-bounds")
+    mass, rare = own_mass(ids, texts, idf)
+    mass = materialise(mass.where(F.col("shared") >= F.lit(threshold) * F.col("total")), "neardup-bounds")
     rows = materialise(large.join(mass, "id"), "neardup-large")
     order = F.struct((F.col("total") - F.col("shared")) / F.col("total"), F.col("id"))
     lead = rows.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "id", "total", "shared")).alias("m")).select("bucket", F.col("m.id").alias("lid"), F.col("m.total").alias("lt"), F.col("m.shared").alias("ls"))
@@ -226,7 +234,7 @@ def _links_in_large(large: DataFrame, sigs: DataFrame, reps: DataFrame, idf, thr
         return m >= F.lit(threshold) * (wa + wb - m) * F.lit(1 - 1e-9)
 
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    stars = rows.join(lead, "bucket").where((F.col("id") != F.col("lid")) & bounded(F.col("total"), F.col("shared"), F.col("lt"), F.col("ls"))).select(*pair(F.col("id"), F.col("lid"))).distinct()
+    stars = rows.join(lead, "bucket").where((F.col("id") != F.col("lid")) & bounded(F.col("total"), F.col("shared"), F.col("lt"), F.col("ls"))).select(*pair(F.col("id"), F.col("lid"))).unionByName(rare).distinct()
     stars = materialise(agreeing(stars, sigs), "neardup-stars")
     links = materialise(verify(stars, texts, idf, threshold), "neardup-star-links")
     classes = components(ids, links)
