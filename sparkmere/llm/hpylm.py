@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .store import materialise
 from .words import U64, mix
 
-BLOCK_TOKENS, RANGE_TOKENS = 4_000_000, 4_000_000
+BLOCK_TOKENS, RANGE_TOKENS = 2_000_000, 4_000_000
 COMMON = 1 / 16384
 DISCOUNT, STRENGTH = (0.7, 0.8), (1.0, 1.0)
 SAMPLES, BURN, THIN = 3, 4, 2
@@ -123,12 +123,12 @@ class Layout:
         context = np.empty(len(self.tokens), np.int64)
         context[1:] = self.tokens[:-1]
         context[first] = START
-        key = context * len(self.vocab) + self.tokens
-        self.pairs, self.pair = np.unique(key, return_inverse=True)
+        self.pairs, pair = np.unique(context * len(self.vocab) + self.tokens, return_inverse=True)
+        self.pair = pair.astype(np.int32)
         self.context, self.word = np.divmod(self.pairs, len(self.vocab))
         self.train = np.repeat(~self.held, self.n)
         self.count = np.bincount(self.pair, self.train, len(self.pairs)).astype(np.uint32)
-        self.at = context
+        del context, pair
         wings = np.ones(len(self.vocab), np.int64)
         for i in np.flatnonzero(np.isin(self.vocab, np.array(list(heavy), U64))):
             wings[i] = heavy[int(self.vocab[i])]
@@ -369,6 +369,7 @@ def score_corpus(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     def score(key: tuple, table: pa.Table) -> pa.Table:
         kinds = table.column("kind").to_pylist()
         payload = {(k, s): x for k, s, x in zip(kinds, table.column("src").to_pylist(), table.column("payload"), strict=True)}
+        del table
         lay = Layout(payload[-1, -1].as_py(), n_ranges, heavy_all.value)
         room_c, room_t = np.zeros(len(lay.vocab)), np.zeros((SAMPLES, len(lay.vocab)))
         c, t = np.zeros(len(lay.pairs)), np.zeros(len(lay.pairs))
