@@ -88,7 +88,9 @@ def shared_suffixes(rows: DataFrame) -> DataFrame:
     Sorting brings a key's suffixes side by side; the comparison needs only the least and the greatest document of a run,
     which are aggregated before the shuffle, so a key that a third of all documents have costs a row for each task.
     """
+    # Written first, so that the join's two sides are plain exchanges and a hot key's rows can be split.
     runs = rows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
+    runs = materialise(runs, "repeats-keys")
     return rows.join(runs, "key").select("id", "pos")
 
 
