@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import BROADCAST_ROWS, materialise
+from .store import BROADCAST_ROWS, materialise, maybe_broadcast
 from .words import U64, groups, mix, shingles, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -291,7 +291,7 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
     found = materialise(near_duplicates(docs, id_col=id_col, **how), "neardup-found")
     keep = found.where(F.col(id_col) == F.col("class_id")).groupBy(id_col).agg(F.count("*").alias("_n"))
     keep = materialise(keep, "neardup-keep").select(F.col(id_col).alias("_keep"), "_n")
-    kept = docs.join(keep, docs[id_col] == F.col("_keep"))
+    kept = docs.join(maybe_broadcast(keep), docs[id_col] == F.col("_keep"))
     once = kept.where("_n = 1").select(*docs.columns)
     if keep.where("_n > 1").limit(1).count():
         again = kept.where("_n > 1").select(*docs.columns)
