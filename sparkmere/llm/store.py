@@ -49,17 +49,22 @@ def _early_cleanup(spark: SparkSession):
                 spark.conf.set(_CLEANUP, before)
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else has. The files go when the application ends."""
+    top = shared_dir(spark)
+    if top not in _told:
+        _told.add(top)
+        atexit.register(_delete, spark, top)
+    return f"{top}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as a table in the shared folder and read it back: cuts lineage and survives lost executors.
 
     The files go when the application ends.
     """
     spark = df.sparkSession
-    top = shared_dir(spark)
-    if top not in _told:
-        _told.add(top)
-        atexit.register(_delete, spark, top)
-    path = f"{top}/{name}-{uuid.uuid4().hex[:12]}"
+    path = new_path(spark, name)
     with _early_cleanup(spark):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

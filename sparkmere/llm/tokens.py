@@ -1,7 +1,7 @@
 """Token-ID output in training order: every sequence gets a global slot by a keyed permutation.
 
 Texts become token IDs of a public byte-level vocabulary, each text with an end token, cut into sequences of a fixed
-length, the last one padded. Sequences are numbered in the input's order; a Feistel permutation with
+length, the last one padded. Sequences are numbered in the order of (id, part); a Feistel permutation with
 cycle-walking takes number to slot. Slots are dealt to shards by range, so a shard is a run of fixed-stride records:
 record r of shard s is at byte r * stride, and a reader that knows its slot resumes there.
 """
@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialise
+from .store import materialise, new_path
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -102,13 +102,13 @@ def worker_encoder(vocabulary: str) -> Encoder:
 
 
 def sequences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", seq_len: int = SEQ_LEN, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Rows (dealt, row, id, part, n_tokens, ids): ids is little-endian uint16, `seq_len` of them, padded with 65535; dealt
-    is the partition that a row comes from and row its place there."""
+    """Rows (dealt, row, doc, hash, id, part, n_tokens, ids): ids is little-endian uint16, `seq_len` of them, padded with
+    65535; dealt is the partition that a row comes from, row its place there, doc its text's place there, hash the text's."""
     kind = dict(docs.dtypes)[id_col]
-    names = ["dealt", "row", "id", "part", "n_tokens", "ids"]
+    names = ["dealt", "row", "doc", "hash", "id", "part", "n_tokens", "ids"]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, dealt, done = worker_encoder(vocabulary), TaskContext.get().partitionId(), 0
+        encoder, dealt, done, docs_done = worker_encoder(vocabulary), TaskContext.get().partitionId(), 0, 0
         for whole in batches:
             sizes = np.cumsum(pc.fill_null(pc.binary_length(whole.column("_text")), 0).to_numpy(zero_copy_only=False))
             cuts = np.unique(np.append(np.searchsorted(sizes, np.arange(1, sizes[-1] // BATCH_BYTES + 1) * BATCH_BYTES) + 1, len(whole))) if len(whole) else []
@@ -125,10 +125,13 @@ def sequences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
                 ids = pa.Array.from_buffers(pa.binary(2 * seq_len), int(parts.sum()), [None, pa.py_buffer(out)]).cast(pa.binary())
                 row = done + np.arange(len(part))
                 done += len(part)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), dealt, np.int64)), pa.array(row), batch.column("_id").take(pa.array(np.repeat(np.arange(len(batch)), parts))), pa.array(part), pa.array(tokens), ids], names=names)
+                own = np.repeat(np.arange(len(batch)), parts)
+                doc = docs_done + own
+                docs_done += len(batch)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), dealt, np.int64)), pa.array(row), pa.array(doc), *(batch.column(c).take(pa.array(own)) for c in ("_hash", "_id")), pa.array(part), pa.array(tokens), ids], names=names)
 
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    return rows.mapInArrow(encode, f"dealt long, row long, id {kind}, part long, n_tokens long, ids binary")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("_hash"))
+    return rows.mapInArrow(encode, f"dealt long, row long, doc long, hash long, id {kind}, part long, n_tokens long, ids binary")
 
 
 def round_keys(key: str = KEY, rounds: int = ROUNDS) -> list[int]:
@@ -161,28 +164,106 @@ def permute(numbers: DataFrame, n: int, number_col: str = "number", key: str = K
     return first.withColumn("slot", again)
 
 
-def training_order(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", seq_len: int = SEQ_LEN, shard_records: int = SHARD_RECORDS, key: str = KEY, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Rows (id, part, n_tokens, ids, number, slot, shard, record), range-partitioned and sorted by slot.
+def place_sequences(seqs: DataFrame, *, shard_records: int = SHARD_RECORDS, key: str = KEY) -> tuple[DataFrame, int]:
+    """Rows (dealt, row, id, part, n_tokens, number, slot, shard, record) of `seqs` (materialised), and how many.
 
-    Numbers follow the input's partitions and the rows within them, so the payload is shuffled once, to its slots; sort
-    the input by id for an order that doesn't depend on how it is partitioned. Null text is the empty text: a sequence
-    with the end token alone. Null and repeated ids, and repeated rows, are kept like others. An empty table gives an
-    empty result. Partitions are numbered by one sum each, which is as many rows as there are input partitions.
+    Numbers are places in the order of (id, hash of the text, part); only rows that repeat an id and a text are told apart
+    by where they come from, and they are alike. The payload isn't read: narrow rows are range-partitioned, sorted and
+    counted, and one sum a partition is carried on.
     """
     from pyspark.sql import Window
 
-    seqs = materialise(sequences(docs, id_col=id_col, text_col=text_col, seq_len=seq_len, vocabulary=vocabulary), "tokens")
-    sums = seqs.groupBy("dealt").agg(F.count("*").alias("_n"))
-    ahead = F.coalesce(F.sum("_n").over(Window.orderBy("dealt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = materialise(sums.select("dealt", "_n", ahead.alias("_base")), "tokens-partitions")
+    order = ["id", "hash", "dealt", "doc", "part"]
+    narrow = seqs.select(*order, "row", "n_tokens")
+    parts = max(int(seqs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-seqs.count() // 500_000))
+    at = F.monotonically_increasing_id()
+    ranked = materialise(narrow.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", at), "tokens-ranked")
+    ranked = ranked.withColumn("_p", F.shiftrightunsigned("_at", 33)).withColumn("_i", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
+    ahead = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = materialise(ranked.groupBy("_p").agg(F.count("*").alias("_n")).select("_p", "_n", ahead.alias("_base")), "tokens-partitions")
     n = sums.agg(F.sum("_n")).first()[0] or 0
-    placed = seqs.join(F.broadcast(sums.drop("_n")), "dealt").withColumn("number", F.col("_base") + F.col("row"))
-    placed = permute(placed.select("id", "part", "n_tokens", "ids", F.col("number").cast("long").alias("number")), n, "number", key)
+    numbered = ranked.join(F.broadcast(sums.drop("_n")), "_p").withColumn("number", (F.col("_base") + F.col("_i")).cast("long"))
+    placed = permute(numbered.select("dealt", "row", "id", "part", "n_tokens", "number"), n, "number", key)
     placed = placed.withColumn("shard", F.floor(F.col("slot") / shard_records).cast("long")).withColumn("record", F.pmod("slot", F.lit(shard_records)).cast("long"))
-    parts = max(1, -(-n // (4 * shard_records)), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return materialise(placed, "tokens-places"), n
+
+
+def write_places(placed: DataFrame) -> str:
+    """Numbers and slots as one small file for each partition that the sequences come from, in the shared folder, which
+    executors open with pyarrow: so they reach the payload where it lies and no join shuffles it."""
+    path = new_path(placed.sparkSession, "tokens-files")
+
+    def write(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by("row")
+        _put(path, f"{key[0].as_py()}.bin", [np.stack([table.column(c).to_numpy() for c in ("number", "slot")]).astype("<i8").tobytes()])
+        return pa.table({"dealt": [key[0].as_py()], "n": [len(table)]})
+
+    materialise(placed.select("dealt", "row", "number", "slot").groupBy("dealt").applyInArrow(write, "dealt long, n long"), "tokens-written")
+    return path
+
+
+def _put(path: str, name: str, pieces: list[bytes]) -> None:
+    """Write a file under a name of the task's own and then rename it, so a repeated task leaves the same file."""
+    from pyarrow import fs
+
+    system, top = fs.FileSystem.from_uri(path)
+    system.create_dir(top, recursive=True)
+    own = f"{top}/.{name}.{hashlib.md5(np.random.bytes(16)).hexdigest()}"
+    with system.open_output_stream(own) as f:
+        for x in pieces:
+            f.write(x)
+    system.move(own, f"{top}/{name}")
+
+
+def with_places(seqs: DataFrame, path: str, columns: tuple[str, ...], first: int = 0, last: int = 1 << 62) -> DataFrame:
+    """`columns` of `seqs` with number and slot from the files of `write_places`; rows of slots from `first` to before `last`."""
+    kinds = dict(seqs.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, top = fs.FileSystem.from_uri(path)
+        have, table = None, np.zeros((2, 0), np.int64)
+        for whole in batches:
+            dealt = whole.column("dealt").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(dealt)) + 1).tolist(), len(dealt)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                if have != dealt[a]:
+                    have = dealt[a]
+                    with system.open_input_file(f"{top}/{have}.bin") as f:
+                        table = np.frombuffer(f.read(), "<i8").reshape(2, -1)
+                batch = whole.slice(a, b - a)
+                number, slot = table[:, batch.column("row").to_numpy()]
+                keep = np.flatnonzero((slot >= first) & (slot < last))
+                part = batch.select(list(columns)).take(pa.array(keep))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(number[keep]), pa.array(slot[keep])], names=[*columns, "number", "slot"])
+
+    schema = ", ".join(f"{c} {kinds[c]}" for c in columns)
+    return seqs.select("dealt", "row", *columns).mapInArrow(run, f"{schema}, number long, slot long")
+
+
+def by_slot(rows: DataFrame, n: int, shard_records: int = SHARD_RECORDS) -> DataFrame:
+    """`rows` range-partitioned and sorted by slot."""
+    parts = max(1, -(-n // (4 * shard_records)), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     size = max(1, -(-n // parts))
     size = -(-size // shard_records) * shard_records if size >= shard_records else size
-    return placed.repartition(parts, F.floor(F.col("slot") / size)).sortWithinPartitions("slot")
+    return rows.repartition(parts, F.floor(F.col("slot") / size)).sortWithinPartitions("slot")
+
+
+def training_order(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", seq_len: int = SEQ_LEN, shard_records: int = SHARD_RECORDS, key: str = KEY, vocabulary: str = VOCABULARY) -> DataFrame:
+    """Rows (id, part, n_tokens, ids, number, slot, shard, record), range-partitioned and sorted by slot.
+
+    The same documents, key and lengths give the same slots, however the input is partitioned: see `place_sequences`. A
+    null id comes first. Null text is the empty text: a sequence with the end token alone. Null and repeated ids, and
+    repeated rows, are kept like others. An empty table gives an empty result. The payload is shuffled once.
+    """
+    seqs = materialise(sequences(docs, id_col=id_col, text_col=text_col, seq_len=seq_len, vocabulary=vocabulary), "tokens")
+    placed, n = place_sequences(seqs, shard_records=shard_records, key=key)
+    rows = with_places(seqs, write_places(placed), ("id", "part", "n_tokens", "ids"))
+    rows = rows.withColumn("shard", F.floor(F.col("slot") / shard_records).cast("long")).withColumn("record", F.pmod("slot", F.lit(shard_records)).cast("long"))
+    return by_slot(rows, n, shard_records)
 
 
 def shard_bytes(rows: Iterator[pa.RecordBatch], seq_len: int = SEQ_LEN) -> Iterator[pa.RecordBatch]:

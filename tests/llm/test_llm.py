@@ -149,6 +149,16 @@ def test_token_round_trip(spark, docs, texts):
         assert ids[:-1] == e.encoding.encode_ordinary(texts[k])
 
 
+def test_order_is_of_the_documents(spark, docs):
+    """The same slots however the input is partitioned, repeated and null ids and repeated rows too."""
+    odd = spark.createDataFrame([(1, "again " * 90), (1, "other " * 200), (1, "again " * 90), (None, "none"), (None, None), (3, "")], "doc_id long, text string")
+    d = docs.select("doc_id", "text").limit(40).unionByName(odd).cache()
+    got = [sorted((r.slot, r.number, -1 if r.id is None else r.id, r.part, bytes(r.ids)) for r in tokens.training_order(x, seq_len=64, shard_records=16).collect()) for x in (d.coalesce(1), d.repartition(3), d.repartition(7, "text"))]
+    assert got[0] == got[1] == got[2]
+    order = [r[2] for r in sorted(got[0], key=lambda r: r[1])]
+    assert order == sorted(order)
+
+
 def test_raw_shards(spark, docs, tmp_path):
     ordered = tokens.training_order(docs.limit(20), seq_len=64, shard_records=16)
     path = f"file://{tmp_path}/raw"
