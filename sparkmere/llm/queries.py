@@ -24,10 +24,8 @@ def op2_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ordered = tokens.training_order(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    kind = dict(ordered.dtypes)["id"]
-    read = ordered.mapInArrow(tokens.shard_bytes, f"id {kind}, part long, n_tokens long, number long, slot long, shard long, record long, read_tokens long, ids_md5 string")
-    return read.withColumnRenamed("id", "doc_id")
+    path, rows = tokens.write_all_shards(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return tokens.read_shards(rows, path).withColumnRenamed("id", "doc_id")
 
 
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

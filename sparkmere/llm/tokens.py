@@ -32,6 +32,8 @@ MEMO = 1_000_000
 #: A space after white space, or a zero character.
 _ODD = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] |\x00"
 BATCH_BYTES = 8 << 20
+#: Runs of slots in which shards are written, one after the other.
+WAVES = 4
 
 
 def load_encoding(vocabulary: str = VOCABULARY):
@@ -266,18 +268,50 @@ def training_order(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     return by_slot(rows, n, shard_records)
 
 
-def shard_bytes(rows: Iterator[pa.RecordBatch], seq_len: int = SEQ_LEN) -> Iterator[pa.RecordBatch]:
-    """Records in slot order as they stand in the shard files: what is read back at record * stride."""
-    stride = 2 * seq_len
-    for batch in rows:
-        blob = b"".join(batch.column("ids").to_pylist())
-        if len(blob) != stride * len(batch):
-            raise ValueError("a record is not of the fixed stride")
-        read = [np.frombuffer(blob, "<u2", seq_len, k * stride) for k in range(len(batch))]
-        live = [x[: int((x != PAD_ID).sum())] for x in read]
-        sums = [hashlib.md5(x.tobytes()).hexdigest() for x in live]
-        keep = [c for c in batch.schema.names if c != "ids"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array([len(x) for x in live], pa.int64()), pa.array(sums, pa.string())], names=[*keep, "read_tokens", "ids_md5"])
+def write_all_shards(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", seq_len: int = SEQ_LEN, shard_records: int = SHARD_RECORDS, key: str = KEY, vocabulary: str = VOCABULARY) -> tuple[str, DataFrame]:
+    """Write the whole training order as raw shards in the shared folder. Returns their path and the rows (id, part,
+    n_tokens, number, slot, shard, record) by slot, without the payload.
+
+    Shards are written in WAVES runs of slots, so a shuffle holds only so large a part of the payload at a time.
+    """
+    spark = docs.sparkSession
+    seqs = materialise(sequences(docs, id_col=id_col, text_col=text_col, seq_len=seq_len, vocabulary=vocabulary), "tokens")
+    placed, n = place_sequences(seqs, shard_records=shard_records, key=key)
+    places, path = write_places(placed), new_path(spark, "tokens-shards")
+    wave = -(-n // (WAVES * shard_records)) * shard_records
+    for first in range(0, n, max(wave, 1)):
+        rows = with_places(seqs, places, ("ids",), first, first + wave)
+        rows = rows.withColumn("shard", F.floor(F.col("slot") / shard_records).cast("long")).withColumn("record", F.pmod("slot", F.lit(shard_records)).cast("long"))
+        materialise(write_raw_shards(rows, path, shard_records=shard_records, seq_len=seq_len), "tokens-shards-written")
+    return path, by_slot(placed.drop("dealt", "row"), n, shard_records)
+
+
+def read_shards(rows: DataFrame, path: str, *, seq_len: int = SEQ_LEN) -> DataFrame:
+    """`rows` (by slot) with read_tokens and ids_md5 of the records in the shard files, each read at record * stride."""
+    stride, names = 2 * seq_len, rows.columns
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, top = fs.FileSystem.from_uri(path)
+        for batch in batches:
+            shard, record = batch.column("shard").to_numpy(), batch.column("record").to_numpy()
+            live: list = [None] * len(batch)
+            for k in np.unique(shard):
+                mine = np.flatnonzero(shard == k)
+                low, high = int(record[mine].min()), int(record[mine].max()) + 1
+                with system.open_input_file(f"{top}/shard-{k:08d}.bin") as f:
+                    f.seek(low * stride)
+                    blob = f.read((high - low) * stride)
+                if len(blob) != (high - low) * stride:
+                    raise ValueError(f"shard {k} ends before record {high - 1}")
+                for i in mine:
+                    x = np.frombuffer(blob, "<u2", seq_len, (int(record[i]) - low) * stride)
+                    live[i] = x[x != PAD_ID]
+            sums = [hashlib.md5(x.tobytes()).hexdigest() for x in live]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(x) for x in live], pa.int64()), pa.array(sums, pa.string())], names=[*names, "read_tokens", "ids_md5"])
+
+    return rows.mapInArrow(read, ", ".join(f"`{c}` {k}" for c, k in rows.dtypes) + ", read_tokens long, ids_md5 string")
 
 
 def write_token_shards(ordered: DataFrame, path: str, *, shard_records: int = SHARD_RECORDS, seq_len: int = SEQ_LEN) -> None:
@@ -289,21 +323,16 @@ def write_token_shards(ordered: DataFrame, path: str, *, shard_records: int = SH
 def write_raw_shards(ordered: DataFrame, path: str, *, shard_records: int = SHARD_RECORDS, seq_len: int = SEQ_LEN) -> DataFrame:
     """Write raw fixed-stride files ``shard-K.bin`` under `path`, a file system that executors can open with pyarrow.
 
-    A shard is written under a name of its task's own and then renamed, so a repeated task leaves the same file. Returns
-    (shard, n_records, bytes).
+    `ordered` has slot, shard, record and ids. A shard is written under a name of its task's own and then renamed, so a repeated
+    task leaves the same file. Returns (shard, n_records, bytes).
     """
     def write(key: tuple, table: pa.Table) -> pa.Table:
-        from pyarrow import fs
-
         k = key[0].as_py()
-        system, top = fs.FileSystem.from_uri(path)
-        system.create_dir(top, recursive=True)
-        ids = table.sort_by("slot").column("ids").to_pylist()
-        name, own = f"{top}/shard-{k:08d}.bin", f"{top}/.shard-{k:08d}.{hashlib.md5(np.random.bytes(16)).hexdigest()}"
-        with system.open_output_stream(own) as f:
-            for x in ids:
-                f.write(x)
-        system.move(own, name)
+        table = table.sort_by("slot")
+        if not np.array_equal(table.column("record").to_numpy(), np.arange(len(table))):
+            raise ValueError(f"shard {k} lacks a record or has one twice")
+        ids = table.column("ids").to_pylist()
+        _put(path, f"shard-{k:08d}.bin", ids)
         return pa.table({"shard": [k], "n_records": [len(ids)], "bytes": [len(ids) * 2 * seq_len]})
 
     return ordered.groupBy("shard").applyInArrow(write, "shard long, n_records long, bytes long")

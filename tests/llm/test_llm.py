@@ -5,13 +5,14 @@ import itertools
 import json
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sparkmere.llm import chat, components, decontamination, hpylm, mixing, neardup, quality, repeats, secrets, sharding, tokens
+from sparkmere.llm import chat, components, decontamination, hpylm, mixing, neardup, quality, queries, repeats, secrets, sharding, tokens
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -168,6 +169,28 @@ def test_raw_shards(spark, docs, tmp_path):
         assert tokens.read_record(path, r.slot, shard_records=16, seq_len=64).tolist() == want
 
 
+def test_token_query_writes_and_reads_shards(spark, docs, texts, monkeypatch):
+    """The query leaves whole shard files, and what it reports is what they hold: a changed byte shows."""
+    made = []
+    monkeypatch.setattr(tokens, "new_path", lambda s, name, real=tokens.new_path: (made.append((name, real(s, name))), made[-1][1])[1])
+    got = queries.op3_tokens(spark, SF)
+    (path,) = [p for name, p in made if name == "tokens-shards"]
+    rows = sorted(got.collect(), key=lambda r: r.slot)
+    files = sorted(Path(path.removeprefix("file://")).glob("shard-*.bin"))
+    assert sum(f.stat().st_size for f in files) == len(rows) * 2 * tokens.SEQ_LEN
+    e = tokens.Encoder()
+    for k, g in itertools.groupby(sorted(rows, key=lambda r: (r.doc_id, r.part)), key=lambda r: r.doc_id):
+        g = list(g)
+        ids = [tokens.read_record(path, r.slot).tolist() for r in g]
+        assert sum(ids, []) == [*e.encoding.encode_ordinary(texts[k]), tokens.END_ID]
+        assert [(r.read_tokens, r.ids_md5) for r in g] == [(len(x), hashlib.md5(np.array(x, "<u2").tobytes()).hexdigest()) for x in ids]
+    with files[0].open("r+b") as f:
+        f.seek(5 * 2 * tokens.SEQ_LEN)
+        f.write(b"\x01\x00\x02\x00")
+    after = {r.slot: r.ids_md5 for r in got.collect()}
+    assert [r.slot for r in rows if after[r.slot] != r.ids_md5] == [5]
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 17, 1000])
 def test_permutation(spark, n):
     got = [r.slot for r in tokens.permute(spark.range(n).withColumnRenamed("id", "number"), n).collect()]
