@@ -253,17 +253,32 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     class_id is the least id of the class, copy_of the least id with exactly this text. Null and empty texts are copies of
     each other; texts of white space alone are like only their exact copies. Texts under five words have one shingle of
-    all their words. Letters A-Z count as lower case. A repeated id is one node: the classes of its texts are one. Rows
+    all their words. Letters A-Z count as lower case. Each different text is a node, however often its row or
+    id is repeated; the classes of a repeated id's texts are one. Rows
     with a null id have null class and copy_of. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     coded = materialise(d.select("id", F.md5(F.col("text").cast("binary")).alias("code")), "neardup-codes")
-    first = coded.where("id IS NOT NULL").groupBy("code").agg(F.min("id").alias("rep"))
-    copies = materialise(coded.where("id IS NOT NULL").join(first, "code").select("id", "rep").distinct(), "neardup-copies")
-    own = copies.where("id = rep").select("id").distinct()
-    few = own.count() <= BROADCAST_ROWS
-    reps = d.where("id IS NOT NULL").join(F.broadcast(own) if few else own, "id", "left_semi")
+    coded = coded.where("id IS NOT NULL")
+    # A node is a different text: its key is its least id, and one of its own where that id has another text's node.
+    first = coded.groupBy("code").agg(F.min("id").alias("rep"))
+    again = materialise(coded.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), "neardup-again")
+    odd = again.limit(1).count() > 0
+    if odd:
+        lead = first.join(again.withColumnRenamed("id", "rep"), "rep", "left_semi").groupBy("rep").agg(F.min("code").alias("lead"))
+        first = first.join(lead, "rep", "left").withColumn("node", F.when(F.col("code") != F.col("lead"), F.xxhash64("rep", "code")).otherwise(F.col("rep"))).drop("lead")
+    else:
+        first = first.withColumn("node", F.col("rep"))
+    copies = materialise(coded.join(first, "code").select("id", "code", "rep", "node").distinct(), "neardup-copies")
+    own = copies.where("id = rep").select("id", "code", "node")
+    once = own.join(again, "id", "left_anti").select("id") if odd else own.select("id")
+    few = once.count() <= BROADCAST_ROWS
+    reps = d.join(F.broadcast(once) if few else once, "id", "left_semi")
+    if odd:
+        more = materialise(own.join(again, "id", "left_semi"), "neardup-more")
+        rows = d.withColumn("code", F.md5(F.col("text").cast("binary"))).join(maybe_broadcast(more), ["id", "code"])
+        reps = reps.unionByName(materialise(rows.groupBy("node").agg(F.first("text").alias("text")).select(F.col("node").alias("id"), "text"), "neardup-repeated"))
     idf = spark.sparkContext.broadcast(document_frequencies(d, "text"))
     sigs = materialise(signatures(reps, idf).dropDuplicates(["id", "sig"]), "neardup-sigs")
     bucketed = materialise(buckets(sigs).distinct(), "neardup-buckets")
@@ -275,12 +290,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     large = bucketed.where(F.col("n") > SMALL).select("bucket", "id")
     if large.limit(1).count():
         links = links.unionByName(_links_in_large(large, sigs, reps, idf, threshold).select("a", "b"))
-    twice = copies.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
-    chain = copies.join(twice, "id", "left_semi").where("id <> rep").select(F.least("id", "rep").alias("a"), F.greatest("id", "rep").alias("b"))
-    links = links.unionByName(chain).distinct()
-    nodes = own.unionByName(twice).distinct()
-    classes = materialise(components(nodes, materialise(links, "neardup-all-links")), "neardup-classes")
-    by_rep = copies.groupBy("id").agg(F.min("rep").alias("copy_of")).join(classes.withColumnRenamed("id", "copy_of"), "copy_of")
+    ids = copies.groupBy("id").agg(F.min("rep").alias("copy_of"), F.min("node").alias("node"))
+    chain = copies.select("id", F.col("node").alias("b")).join(ids.select("id", F.col("node").alias("a")), "id").where("a < b").select("a", "b")
+    links = links.unionByName(chain).distinct() if odd else links.distinct()
+    nodes = own.select(F.col("node").alias("id"))
+    classes = materialise(components(nodes, materialise(links, "neardup-all-links")), "neardup-classes").withColumnRenamed("id", "node")
+    if odd:
+        least = classes.join(copies.where("id = rep").select("node", "rep"), "node").groupBy("class_id").agg(F.min("rep").alias("least"))
+        classes = classes.join(least, "class_id").select("node", F.col("least").alias("class_id"))
+    by_rep = ids.join(classes, "node").select("id", "copy_of", "class_id")
     known = docs.select(F.col(id_col)).withColumn("_id", F.col(id_col).cast("long"))
     return known.join(by_rep.withColumnRenamed("id", "_id"), "_id", "left").select(id_col, "class_id", "copy_of")
 

@@ -246,6 +246,27 @@ def test_large_groups(spark, monkeypatch):
     assert got == brute_classes(texts)
 
 
+def test_large_group_with_repeats(spark, monkeypatch):
+    """A repeated row, and an id with two texts, in a group of over 12 near copies: bounds go by texts, not by rows."""
+    rng = random.Random(8)
+    vocab = [f"v{i}" for i in range(5000)]
+    base, rows = rng.choices(vocab, k=200), []
+    for i in range(40):
+        w = list(base)
+        w[5 * i] = f"own{i}"
+        rows.append((i + 1, " ".join(w)))
+    own = " ".join(rng.choices(vocab, k=150))
+    rows += [rows[0]] * 2 + [rows[6], (20, own)] + [(i, " ".join(rng.choices(vocab, k=100))) for i in range(60, 70)] + [(80, own)]
+    masses, real = [], neardup.own_mass
+    monkeypatch.setattr(neardup, "own_mass", lambda *a: (masses.append(real(*a)), masses[-1])[1])
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    assert {(r.doc_id, r.class_id) for r in got} == {(i, 1) for i in [*range(1, 41), 80]} | {(i, i) for i in range(60, 70)}
+    ((mass, _),) = masses
+    total = [r.total for r in mass.collect()]
+    assert len(total) >= 40 and max(total) < 1.2 * min(total)
+
+
 def test_sampling_estimates_weighted_jaccard():
     rng = np.random.default_rng(5)
     s = rng.integers(0, 1 << 44, 300, dtype=np.uint64)
