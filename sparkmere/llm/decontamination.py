@@ -14,7 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import BROADCAST_ROWS, materialise, maybe_broadcast
+from .places import field, quoted, unpacked, whole
+from .store import materialise, maybe_broadcast
 
 SHINGLE, THRESHOLD, HASHES = 5, 0.8, 16
 SEPARATORS = r"[^\p{L}\p{N}]+"
@@ -31,9 +32,11 @@ def shingle_array(words: Column, n: int = SHINGLE) -> Column:
 
 
 def item_shingles(items: DataFrame, item_col: str, text_col: str, n: int) -> DataFrame:
-    words = items.select(F.col(item_col).alias("_item"), norm_words(F.col(text_col)).alias("w"))
-    got = words.select("_item", F.array_distinct(shingle_array(F.col("w"), n)).alias("item_sh")).withColumn("n_item", F.size("item_sh").cast("long"))
-    return got.where(F.col("_item").isNotNull() & (F.col("n_item") > 0))
+    """(_item, width, item_sh, n_item): an item under `n` words has one shingle, of all its words."""
+    words = items.select(quoted(item_col).alias("_item"), norm_words(quoted(text_col)).alias("w"))
+    found = F.when(F.size("w") >= n, F.array_distinct(shingle_array(F.col("w"), n))).otherwise(F.array(F.xxhash64("w")))
+    got = words.where(F.col("_item").isNotNull() & (F.size("w") > 0)).select("_item", F.least(F.size("w"), F.lit(n)).alias("width"), found.alias("item_sh"))
+    return got.withColumn("n_item", F.size("item_sh").cast("long"))
 
 
 def sketches(items: DataFrame, k: int = HASHES) -> DataFrame:
@@ -46,22 +49,25 @@ def sketches(items: DataFrame, k: int = HASHES) -> DataFrame:
 def find_contained(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD, n: int = SHINGLE, k: int = HASHES) -> DataFrame:
     """Pairs (id_col, item_col, n_shared, n_item, containment) with containment >= `threshold`, one row a pair.
 
-    Null or empty texts, and items under `n` words (they have no shingle), match nothing; rows with a null id are not
-    reported; rows that repeat an id count as one document with the union of their matches, the best one given. Extra
-    columns are ignored. Whole texts are searched.
+    Null or empty texts match nothing. An item under `n` words is one shingle of all its words, sought among runs of as many
+    words. Rows with a null id are not reported; rows that repeat an id count as one document with the union of their
+    matches, the best one given. Ids may be of any type. Extra columns are ignored, whatever their names. Whole texts are
+    searched. An empty table on either side gives an empty result.
+
+    The sketch and the candidates are broadcast if they take up to 64 MB, as measured, and are joined by a shuffle beyond.
     """
     known = materialise(item_shingles(items, item_col, item_text_col, n), "decon-items")
     probes = materialise(sketches(known, k), "decon-sketch").withColumn("needs", F.ceil(F.lit(float(threshold)) * F.pow(F.lit(2.0), F.col("size_class"))))
-    probes = maybe_broadcast(probes)
-    d = docs.where(F.col(id_col).isNotNull())
-    words = d.select(F.col(id_col).alias("_doc"), norm_words(F.col(text_col)).alias("w")).where(F.size("w") >= n)
-    found = words.select("_doc", (F.size("w") - (n - 1)).alias("m"), F.explode(shingle_array(F.col("w"), n)).alias("s")).join(probes, "s").where(F.col("m") >= F.col("needs"))
+    short = sorted(r.width for r in known.where(F.col("width") < n).select("width").distinct().collect())
+    d = docs.where(quoted(id_col).isNotNull())
+    words = d.select(quoted(id_col).alias("_doc"), norm_words(quoted(text_col)).alias("w")).where(F.size("w") >= min([*short, n]))
+    runs = shingle_array(F.col("w"), n) if not short else F.concat(*[shingle_array(F.col("w"), m) for m in [*short, n]])
+    size = F.greatest(F.size("w") - (n - 1), F.lit(1)).alias("m")
+    found = words.select("_doc", size, F.explode(runs).alias("s")).join(maybe_broadcast(probes), "s").where(F.col("m") >= F.col("needs"))
     candidates = materialise(found.select("_doc", "_item").distinct(), "decon-candidates")
-    ids = candidates.select("_doc").distinct()
-    n_ids = candidates.count()
-    texts = words.join(F.broadcast(ids) if n_ids <= BROADCAST_ROWS else ids, "_doc", "left_semi")
-    texts = texts.select("_doc", F.array_distinct(shingle_array(F.col("w"), n)).alias("doc_sh"))
-    pairs = texts.join(F.broadcast(candidates) if n_ids <= BROADCAST_ROWS else candidates, "_doc").join(known.hint("broadcast") if known.count() <= BROADCAST_ROWS // 100 else known, "_item")
+    texts = words.join(maybe_broadcast(materialise(candidates.select("_doc").distinct(), "decon-ids")), "_doc", "left_semi")
+    texts = texts.select("_doc", F.array_distinct(runs).alias("doc_sh"))
+    pairs = texts.join(maybe_broadcast(candidates), "_doc").join(maybe_broadcast(known), "_item")
     shared = F.size(F.array_intersect("doc_sh", "item_sh")).cast("long")
     pairs = pairs.select("_doc", "_item", "n_item", shared.alias("n_shared")).where(F.col("n_shared") >= F.col("n_item") * F.lit(float(threshold)))
     best = pairs.groupBy("_doc", "_item").agg(F.max("n_shared").alias("n_shared"), F.max("n_item").alias("n_item"))
@@ -69,6 +75,7 @@ def find_contained(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
-    """The rows of `docs` that hold no item; rows with a null id stay."""
-    bad = materialise(find_contained(docs, items, id_col=id_col, **how).select(F.col(id_col).alias("_bad")).distinct(), "decon-bad")
-    return docs.join(maybe_broadcast(bad), docs[id_col] == F.col("_bad"), "left_anti")
+    """The rows of `docs` that hold no item; rows with a null id stay. Columns stay, whatever their names."""
+    bad = materialise(find_contained(docs, items, id_col=id_col, **how).select(quoted(id_col).alias("_bad")).distinct(), "decon-bad")
+    rows = docs.select(whole(docs))
+    return unpacked(rows.join(maybe_broadcast(bad), field(id_col) == F.col("_bad"), "left_anti"), docs.columns)

@@ -7,10 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import materialise
+from .places import field, quoted, whole
+from .store import materialise, maybe_broadcast
 
 WORD = r"[^\x20\x09-\x0D]+"
-CELL_BITS = 12
+SEED = 17
 
 
 def hash60(text: Column) -> Column:
@@ -22,6 +23,14 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _id_text(id_: Column) -> Column:
+    return F.coalesce(id_.cast("string"), F.lit(""))
+
+
+def _order(id_: Column, seed: int) -> Column:
+    return hash60(F.concat_ws(":", F.lit(str(seed)), id_.cast("string")))
+
+
 def water_fill(sizes: DataFrame, weights: Sequence[float] = (1, 2, 3), max_epochs: float = 3.0, budget: float | None = None) -> DataFrame:
     """Targets of the sources in `sizes` (source, source_size), one row each.
 
@@ -43,7 +52,7 @@ def water_fill(sizes: DataFrame, weights: Sequence[float] = (1, 2, 3), max_epoch
     return t.withColumn("target", F.least(F.col("cap"), F.col("weight") * F.coalesce(level, F.lit(float("inf"))))).select("source", "source_size", "weight", "target")
 
 
-def mix_plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (1, 2, 3), max_epochs: float = 3.0, budget: float | None = None, seed: int = 17) -> DataFrame:
+def mix_plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (1, 2, 3), max_epochs: float = 3.0, budget: float | None = None, seed: int = SEED) -> DataFrame:
     """One row a source: its target, whole repetitions, and the seeded order's last document in the fractional one.
 
     Within a source the documents are ordered by a seeded hash of their id. The fractional repetition takes documents in
@@ -51,8 +60,7 @@ def mix_plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     alike. The boundary is found by two histograms of the hash (2^12 cells, then 2^12 within the boundary cell), so only
     the documents of one cell of 2^24 are ever put in order, however many rows a source has.
     """
-    src, h = F.col(source_col), hash60(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")))
-    sized = materialise(docs.select(src.cast("string").alias("source"), F.coalesce(F.col(id_col), F.lit(-1)).cast("long").alias("id"), h.alias("h"), word_count(F.col(text_col)).alias("size")), "mix-sizes")
+    sized = materialise(docs.select(quoted(source_col).cast("string").alias("source"), _id_text(quoted(id_col)).alias("id"), _order(quoted(id_col), seed).alias("h"), word_count(quoted(text_col)).alias("size")), "mix-sizes")
     plan = water_fill(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_epochs, budget)
     plan = plan.withColumn("whole", F.coalesce(F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0))), F.lit(0)).cast("long"))
     plan = materialise(plan.withColumn("need", F.round("target").cast("long") - F.col("whole") * F.col("source_size")), "mix-sources")
@@ -80,21 +88,39 @@ def mix_plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     return p.join(b, F.col("p.source").eqNullSafe(F.col("b.source")), "left").select("p.source", "source_size", "target", "whole", "need", "b_h", "b_id", "b_size", "b_part")
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (1, 2, 3), max_epochs: float = 3.0, budget: float | None = None, seed: int = 17) -> DataFrame:
+MIXED = ("mix_size", "mix_source_size", "mix_target", "mix_copies", "mix_part", "mix_taken")
+
+
+def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str, **how) -> DataFrame:
+    """(_doc, *MIXED)."""
+    plan = materialise(mix_plan(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how), "mix-plan")
+    plan = maybe_broadcast(plan)
+    d = docs.select(whole(docs), word_count(quoted(text_col)).alias("mix_size"), _order(quoted(id_col), how.get("seed", SEED)).alias("_key"), _id_text(quoted(id_col)).alias("_id"), quoted(source_col).cast("string").alias("_source"))
+    d = d.join(plan, F.col("_source").eqNullSafe(F.col("source")), "left")
+    key, bound = F.struct("_key", "_id", "mix_size"), F.struct(F.col("b_h").alias("_key"), F.col("b_id").alias("_id"), F.col("b_size").alias("mix_size"))
+    more = F.when(key == bound, F.col("b_part")).when(F.col("b_h").isNotNull() & (key < bound), F.col("mix_size")).otherwise(F.lit(0))
+    whole_more = (F.col("_more") >= F.col("mix_size")) & (F.col("mix_size") > 0)
+    copies = F.col("whole") + F.when(whole_more, 1).otherwise(0)
+    part = F.when(whole_more, 0).otherwise(F.col("_more")).cast("long")
+    return d.withColumn("_more", more).select("_doc", "mix_size", F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), copies.alias("mix_copies"), part.alias("mix_part"), (F.col("whole") * F.col("mix_size") + F.col("_more")).alias("mix_taken"))
+
+
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (1, 2, 3), max_epochs: float = 3.0, budget: float | None = None, seed: int = SEED) -> DataFrame:
     """`docs` with mix_size, mix_source_size, mix_target, mix_copies (whole repetitions), mix_part (words of a further, partial one), mix_taken.
 
-    Null text has size 0 and is never taken; a null source is a source of its own, last in order; a null id counts as -1.
-    Rows with equal id, source and size are treated alike. An empty table gives an empty result. Each row meets its
-    source's plan by a join with one row a source, so no source's documents are gathered.
+    Null text has size 0 and is never taken; a null source is a source of its own, last in order; a null id counts as an
+    empty one; ids may be of any type that has a text form. Rows with equal id, source and size are treated alike. Columns
+    of `docs` that have one of the new names are replaced; all others stay, whatever their names. An empty table gives an
+    empty result. Each row meets its source's plan by a join with one row a source, so no source's documents are gathered.
     """
-    plan = materialise(mix_plan(docs, id_col=id_col, text_col=text_col, source_col=source_col, weights=weights, max_epochs=max_epochs, budget=budget, seed=seed), "mix-plan")
-    plan = plan.select(*[F.col(c).alias(f"_mix_{c}") for c in plan.columns])
-    d = docs.withColumn("mix_size", word_count(F.col(text_col))).withColumn("_mix_key", hash60(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")))).withColumn("_mix_id", F.coalesce(F.col(id_col), F.lit(-1)).cast("long"))
-    d = d.join(plan, F.col(source_col).cast("string").eqNullSafe(F.col("_mix_source")), "left")
-    key, bound = F.struct("_mix_key", "_mix_id", "mix_size"), F.struct("_mix_b_h", "_mix_b_id", "_mix_b_size")
-    same_key = (F.col("_mix_key") == F.col("_mix_b_h")) & (F.col("_mix_id") == F.col("_mix_b_id")) & (F.col("mix_size") == F.col("_mix_b_size"))
-    part = F.when(same_key, F.col("_mix_b_part")).when(F.col("_mix_b_h").isNotNull() & (key < bound), F.col("mix_size")).otherwise(F.lit(0))
-    whole_more = (part >= F.col("mix_size")) & (F.col("mix_size") > 0)
-    out = d.withColumn("_mix_more", part).withColumn("mix_copies", F.col("_mix_whole") + F.when(whole_more, 1).otherwise(0)).withColumn("mix_part", F.when(whole_more, 0).otherwise(F.col("_mix_more")).cast("long"))
-    out = out.withColumn("mix_taken", F.col("_mix_whole") * F.col("mix_size") + F.col("_mix_more"))
-    return out.select(*docs.columns, "mix_size", F.col("_mix_source_size").alias("mix_source_size"), F.col("_mix_target").alias("mix_target"), "mix_copies", "mix_part", "mix_taken")
+    got = _mixed(docs, id_col, text_col, source_col, weights=weights, max_epochs=max_epochs, budget=budget, seed=seed)
+    return got.select(*[field(c).alias(c) for c in docs.columns if c.lower() not in MIXED], *MIXED)
+
+
+def mixed_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """The rows of `docs` as often as the mix takes them; one taken in part counts from half its words on. Columns as in `docs`."""
+    got = _mixed(docs, id_col, text_col, source_col, **how)
+    half = F.when((F.col("mix_part") > 0) & (2 * F.col("mix_part") >= F.col("mix_size")), 1).otherwise(0)
+    times = got.select("_doc", (F.col("mix_copies") + half).cast("int").alias("_times")).where("_times > 0")
+    again = times.select("_doc", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_time"))
+    return again.select(*[field(c).alias(c) for c in docs.columns])

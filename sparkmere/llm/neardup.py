@@ -1,8 +1,8 @@
 """MinHash near-dedup: improved consistent weighted sampling over TF-IDF shingles, banded, verified by weighted Jaccard.
 
-The weight of a shingle (five words) in a text is its count times idf = ln(1 + 1 / max(df / N, 1/20)): a shingle in up to
-a twentieth of the documents weighs alike, what is commoner (boilerplate) weighs less. The document frequencies that
-matter are so few that a hashed table of a fixed size holds them, whatever the corpus.
+The weight of a shingle (five words) in a text is its count times a smoothed idf = ln(1000 / share of the documents that
+have it): what is commoner (boilerplate) weighs less, and what all have weighs half of what one in a thousand has, so that
+near copies in groups of thousands, whose common shingles are frequent, remain alike. See `Idf` for the sketch.
 
 Steps: exact copies become one class each; every class's text is sampled 36 times (the same shingle and step come out with
 a probability equal to the weighted Jaccard similarity), 12 bands of 3; texts that share a band are candidates. At
@@ -16,17 +16,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import BROADCAST_ROWS, materialise, maybe_broadcast
+from .places import field, located, unpacked, with_side, write_side
+from .store import materialise
 from .words import U64, groups, mix, shingles, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 3
-#: Cells of the hashed document frequencies, in two tables of which the less counts.
-CELLS, IDF_FLOOR = 1 << 16, 0.05
+#: Cells of a row of the sketch of document frequencies; idf's constant; the least share that is told from lesser ones.
+CELLS, SMOOTH, LEAST = 1 << 21, 1000.0, 0.001
 #: Buckets of up to so many texts have all pairs tried.
 SMALL = 12
 #: A shingle that at most so many of the texts in large buckets have is rare.
@@ -50,47 +53,72 @@ def _features(raws: list[bytes], memo: dict) -> tuple[np.ndarray, np.ndarray, np
 
 def _cells(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     m = mix(s)
-    return (m % U64(CELLS)).astype(np.int64), ((m >> U64(32)) % U64(CELLS)).astype(np.int64)
+    return (m & U64(CELLS - 1)).astype(np.int64), ((m >> U64(32)) & U64(CELLS - 1)).astype(np.int64)
 
 
-def document_frequencies(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """idf by hashed shingle, of all documents: 2 * CELLS numbers; the driver gets a table of that size."""
+class Idf:
+    """idf = ln(SMOOTH / share), share the part of all documents that have the shingle.
+
+    The shares come from a count-min sketch: two rows of CELLS counts, the lesser of which counts. A shingle's count is too
+    large by what else falls in its cell: on the mean shingles / CELLS, so the share's error is the mean number of
+    different shingles a document over CELLS, whatever the corpus's size. Shares below twice that, or LEAST, count as that.
+    """
+
+    def __init__(self, table: np.ndarray, n: int):
+        self.floor = max(LEAST, 2 * float(table[0].sum()) / max(n, 1) / CELLS)
+        self.table = np.log(SMOOTH / np.clip(table / max(n, 1), self.floor, 1)).astype(np.float32)
+
+    def of(self, s: np.ndarray) -> np.ndarray:
+        a, b = _cells(s)
+        return np.maximum(self.table[0][a], self.table[1][b])
+
+
+def document_frequencies(texts: DataFrame) -> Idf:
+    """The idf of hashed shingles over all rows of `texts` (_text). A task gives its 2 * CELLS counts, compressed; they are
+    added up in two steps, so the driver gets one table of that size."""
+    parts, salts = 64, 32
+
+    def cut(table: np.ndarray) -> list[bytes]:
+        return [zstandard.compress(x.tobytes(), 1) for x in table.reshape(parts, -1)]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, n, memo = np.zeros((2, CELLS), np.int64), 0, {}
+        table, n, memo = np.zeros((2, CELLS), np.uint32), 0, {}
         for batch in batches:
             for _, raws in groups(batch, "_text"):
                 _, s, _ = _features(raws, memo)
                 for row, cell in enumerate(_cells(s)):
-                    table[row] += np.bincount(cell, minlength=CELLS)
+                    np.add.at(table[row], cell, np.uint32(1))
                 n += len(raws)
                 if len(memo) > 500_000:
                     memo.clear()
         if n:
-            cut = table.reshape(64, -1)
-            yield pa.RecordBatch.from_arrays([pa.array([*range(64), 64], pa.int32()), pa.array([*(x.tobytes() for x in cut), np.int64(n).tobytes()], pa.binary())], names=["part", "counts"])
+            salt = TaskContext.get().partitionId() % salts
+            yield pa.RecordBatch.from_arrays([pa.array(range(parts + 1), pa.int32()), pa.array([salt] * (parts + 1), pa.int32()), pa.array([*cut(table), np.int64(n).tobytes()], pa.binary())], names=["part", "salt", "counts"])
 
     def add(key: tuple, table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_py(), np.int64) for x in table.column("counts"))
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
-
-    got = docs.select(F.col(text_col).alias("_text")).mapInArrow(count, "part int, counts binary")
-    got = got.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(32)))
-    for keys in (["part", "salt"], ["part"]):
-        if "salt" in keys:
-            got = got.groupBy(*keys).applyInArrow(lambda k, t: add(k, t.select(["part", "counts"])), "part int, counts binary")
+        part, column = key[0].as_py(), table.column("counts")
+        if part == parts:
+            got = np.int64(sum(int.from_bytes(x.as_py(), "little") for x in column)).tobytes()
         else:
-            got = got.groupBy("part").applyInArrow(add, "part int, counts binary")
-    parts = {r.part: np.frombuffer(bytes(r.counts), np.int64) for r in got.collect()}
-    if not parts:
-        return np.ones((2, CELLS))
-    table, n = np.concatenate([parts[i] for i in range(64)]).reshape(2, CELLS), int(parts[64][0])
-    return np.log1p(1 / np.maximum(table / max(n, 1), IDF_FLOOR))
+            total = None
+            for x in column:
+                more = np.frombuffer(zstandard.decompress(x.as_py()), np.uint32)
+                total = more.astype(np.int64) if total is None else total + more
+            got = zstandard.compress(np.minimum(total, (1 << 32) - 1).astype(np.uint32).tobytes(), 1)
+        return pa.table({"part": pa.array([part], pa.int32()), "counts": pa.array([got], pa.binary())})
+
+    schema = "part int, counts binary"
+    got = texts.select("_text").mapInArrow(count, "part int, salt int, counts binary")
+    got = got.groupBy("part", "salt").applyInArrow(add, schema).groupBy("part").applyInArrow(add, schema)
+    found = {r.part: bytes(r.counts) for r in got.collect()}
+    if not found:
+        return Idf(np.zeros((2, CELLS), np.uint32), 0)
+    table = np.concatenate([np.frombuffer(zstandard.decompress(found[i]), np.uint32) for i in range(parts)]).reshape(2, CELLS)
+    return Idf(table, int.from_bytes(found[parts], "little"))
 
 
-def _weights(s: np.ndarray, count: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    a, b = _cells(s)
-    return count * np.maximum(idf[0][a], idf[1][b])
+def _weights(s: np.ndarray, count: np.ndarray, idf: Idf) -> np.ndarray:
+    return count * idf.of(s).astype(np.float64)
 
 
 def sample(of: np.ndarray, s: np.ndarray, w: np.ndarray, n_docs: int) -> np.ndarray:
@@ -123,7 +151,7 @@ def sample(of: np.ndarray, s: np.ndarray, w: np.ndarray, n_docs: int) -> np.ndar
 
 
 def signatures(reps: DataFrame, idf) -> DataFrame:
-    """(id, sig binary, n_features) of texts that have words."""
+    """(id, sig binary) of `reps` (id, _text) that have words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict = {}
@@ -136,7 +164,7 @@ def signatures(reps: DataFrame, idf) -> DataFrame:
                 has = np.unique(of)
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(first, len(raws)).take(pa.array(has)), pa.array([sig[i].tobytes() for i in has], pa.binary())], names=["id", "sig"])
 
-    return reps.select("id", F.col("text").alias("_text")).mapInArrow(run, "id long, sig binary")
+    return reps.select("id", "_text").mapInArrow(run, "id long, sig binary")
 
 
 def buckets(sigs: DataFrame) -> DataFrame:
@@ -155,15 +183,35 @@ def agreeing(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return got.where(same >= AGREE).select("a", "b")
 
 
-def texts_of(ids: DataFrame, reps: DataFrame) -> DataFrame:
-    """The texts of `ids` (id), written apart so that later joins move only those."""
-    few = ids.count() <= BROADCAST_ROWS
-    return materialise(reps.join(F.broadcast(ids) if few else ids, "id", "left_semi"), "neardup-texts")
+class Corpus:
+    """The documents with their places, and for every row its text's hash and node.
+
+    A node is a different text: its key is that of the first row that has it. Rows with a null id have none.
+    """
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str):
+        text = F.coalesce(field(text_col).cast("string"), F.lit(""))
+        self.rows = located(docs)
+        self.texts = self.rows.select("file", "row", text.alias("_text"))
+        narrow = self.rows.select("file", "row", field(id_col).alias("id"), F.md5(text.cast("binary")).alias("code"), F.monotonically_increasing_id().alias("nid"))
+        self.coded = materialise(narrow, "neardup-codes")
+        known = self.coded.where("id IS NOT NULL")
+        first = known.groupBy("code").agg(F.min("nid").alias("node"), F.min("id").alias("copy_of"))
+        self.nodes = materialise(known.join(first, "code"), "neardup-nodes")
+        self.first = self.nodes.where("nid = node").select("node", "copy_of")
+
+    def texts_of(self, ids: DataFrame | None, name: str) -> DataFrame:
+        """(id, _text) of the nodes `ids` (id), or of all: read where they lie."""
+        own = self.nodes.where("nid = node").select("nid", "node")
+        if ids is not None:
+            own = own.join(ids.select(F.col("id").alias("node")), "node", "left_semi")
+        marks = self.coded.select("file", "row", "nid").join(own, "nid", "left").select("file", "row", F.col("node").alias("value"))
+        return with_side(self.texts, write_side(marks, name)).select(F.col("value").alias("id"), "_text")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
     """Pairs (a, b, similarity) of weighted Jaccard similarity `threshold` or more, over whole texts."""
-    joined = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+    joined = pairs.join(texts.select(F.col("id").alias("a"), F.col("_text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("_text").alias("tb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict = {}
@@ -188,7 +236,7 @@ def verify(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFra
     return joined.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, similarity double")
 
 
-def own_mass(ids: DataFrame, texts: DataFrame, idf) -> tuple[DataFrame, DataFrame]:
+def own_mass(texts: DataFrame, idf) -> tuple[DataFrame, DataFrame]:
     """(id, total, shared): a text's weight, and the weight of its shingles that more than RARE of these texts have; and
     the pairs (a, b) of texts that have a rarer shingle in common, at most RARE texts a shingle."""
 
@@ -200,7 +248,7 @@ def own_mass(ids: DataFrame, texts: DataFrame, idf) -> tuple[DataFrame, DataFram
                 w = _weights(s, count, idf.value)
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(first, len(raws)).take(pa.array(of)), pa.array(s.astype(np.int64)), pa.array(w)], names=["id", "s", "w"])
 
-    rows = texts.join(ids, "id", "left_semi").select("id", F.col("text").alias("_text")).mapInArrow(run, "id long, s long, w double")
+    rows = texts.mapInArrow(run, "id long, s long, w double")
     rows = materialise(rows, "neardup-mass")
     seen = rows.groupBy("s").agg(F.count("*").alias("n"), F.max("id").alias("id"), F.max("w").alias("w")).where(F.col("n") <= RARE)
     seen = materialise(seen, "neardup-rare")
@@ -212,7 +260,7 @@ def own_mass(ids: DataFrame, texts: DataFrame, idf) -> tuple[DataFrame, DataFram
     return mass, pairs
 
 
-def _links_in_large(large: DataFrame, sigs: DataFrame, reps: DataFrame, idf, threshold: float) -> DataFrame:
+def _links_in_large(large: DataFrame, sigs: DataFrame, corpus: Corpus, idf, threshold: float) -> DataFrame:
     """All links that join buckets of more than SMALL texts need for their classes, without all pairs.
 
     Pairs that have a rare shingle in common are few and all tried. Any other link's common weight is at most what either
@@ -222,8 +270,8 @@ def _links_in_large(large: DataFrame, sigs: DataFrame, reps: DataFrame, idf, thr
     allows a link. In a group of near copies the leader is next to the original, and few if any are left.
     """
     ids = materialise(large.select("id").distinct(), "neardup-large-ids")
-    texts = texts_of(ids, reps)
-    mass, rare = own_mass(ids, texts, idf)
+    texts = materialise(corpus.texts_of(ids, "neardup-large-side"), "neardup-large-texts")
+    mass, rare = own_mass(texts, idf)
     mass = materialise(mass.where(F.col("shared") >= F.lit(threshold) * F.col("total")), "neardup-bounds")
     rows = materialise(large.join(mass, "id"), "neardup-large")
     order = F.struct((F.col("total") - F.col("shared")) / F.col("total"), F.col("id"))
@@ -248,71 +296,49 @@ def _links_in_large(large: DataFrame, sigs: DataFrame, reps: DataFrame, idf, thr
     return links.unionByName(verify(more, texts, idf, threshold))
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(id_col, class_id, copy_of) for every row of `docs`: rows of one class are exact or near copies, directly or in a chain.
-
-    class_id is the least id of the class, copy_of the least id with exactly this text. Null and empty texts are copies of
-    each other; texts of white space alone are like only their exact copies. Texts under five words have one shingle of
-    all their words. Letters A-Z count as lower case. Each different text is a node, however often its row or
-    id is repeated; the classes of a repeated id's texts are one. Rows
-    with a null id have null class and copy_of. An empty table gives an empty result.
-    """
-    spark = docs.sparkSession
-    d = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    coded = materialise(d.select("id", F.md5(F.col("text").cast("binary")).alias("code")), "neardup-codes")
-    coded = coded.where("id IS NOT NULL")
-    # A node is a different text: its key is its least id, and one of its own where that id has another text's node.
-    first = coded.groupBy("code").agg(F.min("id").alias("rep"))
-    again = materialise(coded.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), "neardup-again")
-    odd = again.limit(1).count() > 0
-    if odd:
-        lead = first.join(again.withColumnRenamed("id", "rep"), "rep", "left_semi").groupBy("rep").agg(F.min("code").alias("lead"))
-        first = first.join(lead, "rep", "left").withColumn("node", F.when(F.col("code") != F.col("lead"), F.xxhash64("rep", "code")).otherwise(F.col("rep"))).drop("lead")
-    else:
-        first = first.withColumn("node", F.col("rep"))
-    copies = materialise(coded.join(first, "code").select("id", "code", "rep", "node").distinct(), "neardup-copies")
-    own = copies.where("id = rep").select("id", "code", "node")
-    once = own.join(again, "id", "left_anti").select("id") if odd else own.select("id")
-    few = once.count() <= BROADCAST_ROWS
-    reps = d.join(F.broadcast(once) if few else once, "id", "left_semi")
-    if odd:
-        more = materialise(own.join(again, "id", "left_semi"), "neardup-more")
-        rows = d.withColumn("code", F.md5(F.col("text").cast("binary"))).join(maybe_broadcast(more), ["id", "code"])
-        reps = reps.unionByName(materialise(rows.groupBy("node").agg(F.first("text").alias("text")).select(F.col("node").alias("id"), "text"), "neardup-repeated"))
-    idf = spark.sparkContext.broadcast(document_frequencies(d, "text"))
-    sigs = materialise(signatures(reps, idf).dropDuplicates(["id", "sig"]), "neardup-sigs")
+def classify(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> tuple[Corpus, DataFrame]:
+    """The corpus, and (nid, id, code, copy_of, class_id) of its rows with an id."""
+    corpus = Corpus(docs, id_col, text_col)
+    idf = docs.sparkSession.sparkContext.broadcast(document_frequencies(corpus.texts))
+    sigs = materialise(signatures(corpus.texts_of(None, "neardup-side"), idf), "neardup-sigs")
     bucketed = materialise(buckets(sigs).distinct(), "neardup-buckets")
     small = bucketed.where(F.col("n") <= SMALL).select("bucket", "id")
     pairs = small.alias("x").join(small.alias("y"), "bucket").where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     pairs = materialise(agreeing(pairs, sigs), "neardup-pairs")
-    texts = texts_of(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), reps)
+    tried = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    texts = materialise(corpus.texts_of(tried, "neardup-pair-side"), "neardup-texts")
     links = materialise(verify(pairs, texts, idf, threshold), "neardup-links").select("a", "b")
     large = bucketed.where(F.col("n") > SMALL).select("bucket", "id")
     if large.limit(1).count():
-        links = links.unionByName(_links_in_large(large, sigs, reps, idf, threshold).select("a", "b"))
-    ids = copies.groupBy("id").agg(F.min("rep").alias("copy_of"), F.min("node").alias("node"))
-    chain = copies.select("id", F.col("node").alias("b")).join(ids.select("id", F.col("node").alias("a")), "id").where("a < b").select("a", "b")
-    links = links.unionByName(chain).distinct() if odd else links.distinct()
-    nodes = own.select(F.col("node").alias("id"))
-    classes = materialise(components(nodes, materialise(links, "neardup-all-links")), "neardup-classes").withColumnRenamed("id", "node")
-    if odd:
-        least = classes.join(copies.where("id = rep").select("node", "rep"), "node").groupBy("class_id").agg(F.min("rep").alias("least"))
-        classes = classes.join(least, "class_id").select("node", F.col("least").alias("class_id"))
-    by_rep = ids.join(classes, "node").select("id", "copy_of", "class_id")
-    known = docs.select(F.col(id_col)).withColumn("_id", F.col(id_col).cast("long"))
-    return known.join(by_rep.withColumnRenamed("id", "_id"), "_id", "left").select(id_col, "class_id", "copy_of")
-
-
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
-    """`docs` with one document of each class, the one of the least id; of rows that repeat that id the first in order of
-    all columns. Rows with a null id stay."""
-    found = materialise(near_duplicates(docs, id_col=id_col, **how), "neardup-found")
-    keep = found.where(F.col(id_col) == F.col("class_id")).groupBy(id_col).agg(F.count("*").alias("_n"))
-    keep = materialise(keep, "neardup-keep").select(F.col(id_col).alias("_keep"), "_n")
-    kept = docs.join(maybe_broadcast(keep), docs[id_col] == F.col("_keep"))
-    once = kept.where("_n = 1").select(*docs.columns)
-    if keep.where("_n > 1").limit(1).count():
-        again = kept.where("_n > 1").select(*docs.columns)
-        best = again.groupBy(id_col).agg(F.min(F.struct(*[F.col(c) for c in docs.columns])).alias("_d"))
-        once = once.unionByName(best.select("_d.*"))
-    return once.unionByName(docs.where(F.col(id_col).isNull()))
+        links = links.unionByName(_links_in_large(large, sigs, corpus, idf, threshold).select("a", "b"))
+    # A repeated id links the nodes of its texts.
+    ids = corpus.nodes.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("hi")).where("a < hi")
+    chain = corpus.nodes.join(ids.select("id", "a"), "id").where("node > a").select("a", F.col("node").alias("b"))
+    links = materialise(links.unionByName(chain).distinct(), "neardup-all-links")
+    classes = materialise(components(corpus.first.select(F.col("node").alias("id")), links), "neardup-classes").withColumnRenamed("id", "node")
+    least = corpus.first.join(classes, "node").groupBy("class_id").agg(F.min("copy_of").alias("least"))
+    named = classes.join(least, "class_id").select("node", F.col("least").alias("class_id"))
+    return corpus, corpus.nodes.join(named, "node").select("nid", "id", "code", "copy_of", "class_id")
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """(id_col, class_id, copy_of) for every row of `docs`: rows of one class are exact or near copies, directly or in a chain.
+
+    class_id is the least id of the class, copy_of the least id with exactly this text; ids may be of any type that has an
+    order. Null and empty texts are copies of each other; texts of white space alone are like only their exact copies.
+    Texts under five words have one shingle of all their words. Letters A-Z count as lower case. Each different text is a
+    node, however often its row or id is repeated; the classes of a repeated id's texts are one. Rows with a null id have
+    null class and copy_of. Other columns don't matter, whatever their names. An empty table gives an empty result.
+    """
+    corpus, found = classify(docs, id_col, text_col, threshold)
+    nothing = corpus.coded.where("id IS NULL").select("id", F.col("id").alias("class_id"), F.col("id").alias("copy_of"))
+    return found.select("id", "class_id", "copy_of").unionByName(nothing).withColumnRenamed("id", id_col)
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """`docs` with one document of each class, the one of the least id; of rows that repeat that id the one of the least
+    text hash, then place. Rows with a null id stay. The documents are read where they lie and not shuffled."""
+    corpus, found = classify(docs, id_col, text_col, threshold)
+    best = found.where(F.col("id") == F.col("class_id")).groupBy("class_id").agg(F.min(F.struct("code", "nid")).alias("m")).select(F.col("m.nid").alias("nid"), F.lit(1).cast("long").alias("_w"))
+    marks = corpus.coded.join(best, "nid", "left").select("file", "row", F.when(F.col("id").isNull(), F.lit(0).cast("long")).otherwise(F.col("_w")).alias("value"))
+    return unpacked(with_side(corpus.rows, write_side(marks, "neardup-keep")), docs.columns)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .places import field, located, quoted, unpacked, with_side, write_side
 from .store import materialise, maybe_broadcast
 
 SYMBOLS = "#*$%&|<>"
@@ -69,8 +70,9 @@ def host_verdicts(counts: DataFrame, limit: float = HOST_LIMIT, sure: float = HO
     (failed + a) / (docs + a + b). A host is bad if the mean, less `sure` posterior standard deviations, is above
     `limit`: a small host can't be condemned by a few documents.
     """
-    every = Window.partitionBy()
-    t = counts.withColumn("raw", F.col("n_failed") / F.col("n_docs")).withColumn("mu", F.avg("raw").over(every)).withColumn("var", F.coalesce(F.var_samp("raw").over(every), F.lit(0.0)))
+    raw = F.col("n_failed") / F.col("n_docs")
+    prior = counts.agg(F.avg(raw).alias("mu"), F.coalesce(F.var_samp(raw), F.lit(0.0)).alias("var"))
+    t = counts.withColumn("mu", prior.select("mu").scalar()).withColumn("var", prior.select("var").scalar())
     spread = F.col("mu") * (1 - F.col("mu"))
     weight = F.greatest(F.lit(1.0), F.least(F.lit(1000.0), F.when((F.col("var") > 0) & (spread > 0), spread / F.col("var") - 1).otherwise(F.lit(1000.0))))
     t = t.withColumn("weight", weight).withColumn("rate", (F.col("n_failed") + F.col("mu") * F.col("weight")) / (F.col("n_docs") + F.col("weight")))
@@ -78,33 +80,45 @@ def host_verdicts(counts: DataFrame, limit: float = HOST_LIMIT, sure: float = HO
     return t.select("host", "n_docs", "n_failed", "rate", (low > F.lit(float(limit))).alias("host_bad"))
 
 
+def _failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+
+
+def _verdicts(measured: DataFrame, limit: float, sure: float) -> DataFrame:
+    """(_host, host_rate, host_bad) of the hosts in `measured` (host, base_failed), counted before anything is shuffled."""
+    counts = measured.groupBy("host").agg(F.count("*").alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("n_failed"))
+    counts = materialise(counts, "quality-counts")
+    found = materialise(host_verdicts(counts, limit, sure), "quality-hosts")
+    return maybe_broadcast(found.select(F.col("host").alias("_host"), F.col("rate").alias("host_rate"), "host_bad"))
+
+
 def apply_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit: float = HOST_LIMIT, sure: float = HOST_SURE) -> DataFrame:
     """One row a document: id_col, host, the measures, base_failed, host_rate, host_bad, kept.
 
     base_failed: fewer than 50 words, or more than half the words in repeated windows. kept: neither base_failed nor
     from a bad host. Null and empty texts have no words and fail. A null host is a host of its own. Repeated rows each
-    count and each get a row. The hosts' counts are aggregated before they are shuffled, so a hot host costs a row for
-    each task; verdicts, a row a host, are broadcast if they are few, by their count.
+    count and each get a row; ids may be of any type, null too. Other columns don't matter, whatever their names. An empty
+    table gives an empty result. The hosts' counts are aggregated before they are shuffled, so a hot host costs a row for
+    each task; verdicts, a row a host, are broadcast if they are small, by their measured bytes.
     """
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("_text"))
+    rows = docs.select(quoted(id_col).alias("_id"), quoted(host_col).cast("string").alias("host"), quoted(text_col).alias("_text"))
     kind = dict(rows.dtypes)["_id"]
     measured = rows.mapInArrow(_measure_batches, f"_id {kind}, host string, {RULES}")
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    measured = materialise(measured.withColumn("base_failed", failed), "quality")
-    counts = measured.groupBy("host").agg(F.count("*").alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("n_failed"))
-    verdicts = materialise(host_verdicts(counts, limit, sure), "quality-hosts").select(F.col("host").alias("_host"), F.col("rate").alias("host_rate"), "host_bad")
-    out = measured.join(maybe_broadcast(verdicts), F.col("host").eqNullSafe(F.col("_host")), "left").drop("_host")
+    measured = materialise(measured.withColumn("base_failed", _failed()), "quality")
+    out = measured.join(_verdicts(measured, limit, sure), F.col("host").eqNullSafe(F.col("_host")), "left").drop("_host")
     return out.withColumn("kept", ~F.col("base_failed") & ~F.col("host_bad")).withColumnRenamed("_id", id_col)
 
 
 def keep_good(docs: DataFrame, *, text_col: str = "text", host_col: str = "source", limit: float = HOST_LIMIT, sure: float = HOST_SURE) -> DataFrame:
-    """The rows of `docs`, all columns, that pass the document's rules and come from no bad host. Needs no id."""
-    hosts = apply_rules(docs.withColumn("_row", F.lit(0)), id_col="_row", text_col=text_col, host_col=host_col, limit=limit, sure=sure)
-    bad = materialise(hosts.where("host_bad").select(F.col("host").alias("_host")).distinct(), "quality-bad-hosts")
-    inner = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_doc"), F.col(text_col).alias("_text"), F.col(host_col).cast("string").alias("_h"))
-    kind = inner.schema["_doc"].dataType.simpleString()
-    rows = inner.mapInArrow(_measure_batches, f"_doc {kind}, _h string, {RULES}")
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    good = rows.where(~failed)
-    good = good.join(maybe_broadcast(bad), F.col("_h").eqNullSafe(F.col("_host")), "left_anti")
-    return good.select("_doc.*")
+    """The rows of `docs`, all columns, that pass the document's rules and come from no bad host. Needs no id.
+
+    Texts are measured once; verdicts reach the documents where they lie, by narrow rows. Nulls, repeated rows and empty
+    tables as in `apply_rules`; columns keep their names, whatever they are.
+    """
+    rows = located(docs)
+    narrow = rows.select("file", "row", field(host_col).cast("string").alias("host"), field(text_col).alias("_text"))
+    measured = narrow.mapInArrow(_measure_batches, f"file long, row long, host string, {RULES}")
+    measured = materialise(measured.select("file", "row", "host", _failed().alias("base_failed")), "quality")
+    judged = measured.join(_verdicts(measured, limit, sure), F.col("host").eqNullSafe(F.col("_host")), "left")
+    marks = judged.select("file", "row", F.when(~F.col("base_failed") & ~F.col("host_bad"), F.lit(1).cast("long")).alias("value"))
+    return unpacked(with_side(rows, write_side(marks, "quality-keep")), docs.columns)

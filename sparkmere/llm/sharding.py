@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .mixing import hash60
+from .places import field, quoted, whole
 
 TABLE_SIZE = 65_537
 N_SHARDS = 64
@@ -68,18 +69,20 @@ def shard_names(n: int) -> tuple[str, ...]:
 def assign_shards(df: DataFrame, key_col: str = "doc_id", shards: Sequence[str] | int = N_SHARDS, size: int = TABLE_SIZE) -> DataFrame:
     """`df` with shard_slot and shard (index in `shards`, a number of shards or their names).
 
-    Equal keys go to one shard, also null keys (as the empty string) and repeated rows. The rows aren't shuffled: the
-    broadcast table holds `size` rows. Columns shard_slot and shard of `df`, if any, are replaced. An empty table gives
-    an empty result.
+    Equal keys go to one shard, also null keys (as the empty string) and repeated rows; keys may be of any type that has a
+    text form. The rows aren't shuffled: the broadcast table holds `size` rows. Columns shard_slot and shard of `df`, if
+    any, are replaced; all others stay, whatever their names. An empty table gives an empty result.
     """
     names = shard_names(shards) if isinstance(shards, int) else tuple(shards)
     table = lookup_frame(df.sparkSession, names, size).select(F.col("slot").alias("_at"), F.col("shard").alias("_shard"))
-    d = df.drop("shard_slot", "shard").withColumn("shard_slot", slot_of(df[key_col], size))
-    return d.join(F.broadcast(table), d.shard_slot == F.col("_at"), "left").drop("_at").withColumnRenamed("_shard", "shard")
+    rows = df.select(whole(df), slot_of(quoted(key_col), size).alias("_slot"))
+    found = rows.join(F.broadcast(table), F.col("_slot") == F.col("_at"), "left")
+    own = [c for c in df.columns if c.lower() not in ("shard_slot", "shard")]
+    return found.select(*[field(c).alias(c) for c in own], F.col("_slot").alias("shard_slot"), F.col("_shard").alias("shard"))
 
 
 def write_shards(df: DataFrame, path: str, **how) -> None:
-    """Write `df` under `path`/shard=K/. Rows are dealt by shard with large shards split over tasks (a rebalance, which
+    """Write `df` under `path`/shard=K/, null keys and repeated rows too; an empty table leaves an empty folder. Rows are dealt by shard with large shards split over tasks (a rebalance, which
     Spark sizes as it runs), so a hot shard makes several files rather than one large task."""
     placed = df if "shard" in df.columns else assign_shards(df, **how)
     placed.hint("rebalance", "shard").write.partitionBy("shard").mode("overwrite").parquet(path)

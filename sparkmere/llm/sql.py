@@ -37,10 +37,12 @@ _NORM = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N
 DECONTAMINATE = rf"""
 WITH d AS (SELECT doc_id, {_NORM} AS w FROM documents),
 b AS (SELECT item_id, {_NORM} AS w FROM benchmark),
-bs AS (SELECT DISTINCT item_id, array_to_string(w[i:i+4], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM b WHERE len(w) >= 5)),
-ds AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
+bw AS (SELECT item_id, w, least(len(w), 5) AS k FROM b WHERE len(w) > 0 AND item_id IS NOT NULL),
+bs AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i+k-1], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM bw)),
+ks AS (SELECT DISTINCT k FROM bw),
+ds AS (SELECT DISTINCT doc_id, k, array_to_string(w[i:i+k-1], ' ') AS s FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, ks WHERE len(w) >= k)),
 n AS (SELECT item_id, count(*) AS n_item FROM bs GROUP BY item_id),
-p AS (SELECT doc_id, item_id, count(*) AS n_shared FROM ds JOIN bs USING (s) GROUP BY doc_id, item_id)
+p AS (SELECT doc_id, item_id, count(*) AS n_shared FROM ds JOIN bs USING (k, s) GROUP BY doc_id, item_id)
 SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment FROM p JOIN n USING (item_id) WHERE n_shared >= 0.8 * n_item
 """
 

@@ -8,17 +8,20 @@ import uuid
 from contextlib import contextmanager, suppress
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Rows of (id) up to which a side is broadcast, after they have been counted.
-BROADCAST_ROWS = 1_000_000
+#: A side is marked for broadcast if it takes up to so many bytes, which are measured first.
+BROADCAST_BYTES = 64 << 20
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder only where none is set, as in tests."""
+    """The session's ``spark.checkpoint.dir``; a temporary folder only where none is set and all runs on one machine, as in tests."""
     sc = spark.sparkContext
     got = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not got:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         got = f"file://{tempfile.mkdtemp(prefix='sparkmere-')}"
         sc.setCheckpointDir(got)
         spark.conf.set("spark.checkpoint.dir", got)
@@ -70,6 +73,49 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def maybe_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """`df` (narrow rows, cheap to count: a materialised table) marked for broadcast if it has at most `most` rows."""
-    return df.hint("broadcast") if df.count() <= most else df
+def measured_bytes(df: DataFrame) -> int:
+    """What the rows of `df` take in memory: 16 bytes a row, 8 a number, and the lengths of texts and arrays."""
+    flat, long = 0, F.lit(0).cast("long")
+    for name, kind in df.dtypes:
+        c = F.col(f"`{name}`")
+        if kind in ("string", "binary"):
+            long = long + F.coalesce(F.octet_length(c), F.lit(0))
+        elif kind.startswith("array"):
+            long = long + 8 * F.greatest(F.size(c), F.lit(0))
+        else:
+            flat += 8
+    n, more = df.agg(F.count("*"), F.coalesce(F.sum(long), F.lit(0))).first()
+    return n * (flat + 16) + more
+
+
+def maybe_broadcast(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """`df` (a materialised table, cheap to measure) marked for broadcast if it takes at most `most` bytes, else as it is:
+    the engine then joins by a shuffle, or by a broadcast that it has measured itself."""
+    return df.hint("broadcast") if measured_bytes(df) <= most else df
+
+
+def put_file(path: str, name: str, pieces: list) -> None:
+    """Write a file under a name of the task's own and then rename it, so a repeated task leaves the same file. Executors
+    open `path` with pyarrow."""
+    from pyarrow import fs
+
+    system, top = fs.FileSystem.from_uri(path)
+    system.create_dir(top, recursive=True)
+    own = f"{top}/.{name}.{uuid.uuid4().hex}"
+    with system.open_output_stream(own) as f:
+        for x in pieces:
+            f.write(x)
+    system.move(own, f"{top}/{name}")
+
+
+def read_file(path: str, name: str) -> bytes:
+    from pyarrow import fs
+
+    system, top = fs.FileSystem.from_uri(path)
+    with system.open_input_file(f"{top}/{name}") as f:
+        return f.read()
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a table or folder of the shared folder that nothing will read again."""
+    _delete(spark, path)
