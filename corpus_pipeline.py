@@ -7,7 +7,6 @@ stage's docs. All but the last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sparkmere.llm import decontamination, mixing, neardup, quality, sharding
 from sparkmere.llm.store import materialise
@@ -30,10 +29,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; one taken in part counts from half its words on."""
-    mixed = mixing.mix(docs)
-    times = F.col("mix_copies") + F.when(2 * F.col("mix_part") >= F.greatest(F.col("mix_size"), F.lit(1)), 1).otherwise(0)
-    rows = mixed.withColumn("_times", times).where("_times > 0")
-    return rows.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*docs.columns)
+    return mixing.mixed_rows(docs)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
