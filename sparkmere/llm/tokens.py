@@ -3,13 +3,15 @@
 Texts become token IDs of a public byte-level vocabulary, each text with an end token, cut into sequences of a fixed
 length, the last one padded. Sequences are numbered in the order of (id, part); a Feistel permutation with
 cycle-walking takes number to slot. Slots are dealt to shards by range, so a shard is a run of fixed-stride records:
-record r of shard s is at byte r * stride, and a reader that knows its slot resumes there.
+record r of shard s is at byte r * stride, and a reader that knows its slot resumes there. A manifest beside the shards says
+how many sequences there are, their stride, the key and the vocabulary.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import json
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,7 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialise, new_path
+from .places import quoted
+from .store import materialise, new_path, put_file, read_file
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -106,7 +109,7 @@ def worker_encoder(vocabulary: str) -> Encoder:
 def sequences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", seq_len: int = SEQ_LEN, vocabulary: str = VOCABULARY) -> DataFrame:
     """Rows (dealt, row, doc, hash, id, part, n_tokens, ids): ids is little-endian uint16, `seq_len` of them, padded with
     65535; dealt is the partition that a row comes from, row its place there, doc its text's place there, hash the text's."""
-    kind = dict(docs.dtypes)[id_col]
+    kind = dict(docs.select(quoted(id_col).alias("id")).dtypes)["id"]
     names = ["dealt", "row", "doc", "hash", "id", "part", "n_tokens", "ids"]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +135,7 @@ def sequences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
                 docs_done += len(batch)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), dealt, np.int64)), pa.array(row), pa.array(doc), *(batch.column(c).take(pa.array(own)) for c in ("_hash", "_id")), pa.array(part), pa.array(tokens), ids], names=names)
 
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("_hash"))
+    rows = docs.select(quoted(id_col).alias("_id"), quoted(text_col).alias("_text"), F.xxhash64(F.coalesce(quoted(text_col), F.lit(""))).alias("_hash"))
     return rows.mapInArrow(encode, f"dealt long, row long, doc long, hash long, id {kind}, part long, n_tokens long, ids binary")
 
 
@@ -155,7 +158,8 @@ def permute(numbers: DataFrame, n: int, number_col: str = "number", key: str = K
     The network permutes a power of 4 not below n, under 4 n. A value that falls outside is passed through again until it
     is inside (cycle-walking), which keeps the whole a permutation: three of four steps at worst miss, so half the values
     are inside after two steps, and the walk is done in steps of one pass over what is still outside. SQL has no loop, so
-    the walk is an aggregate over a fixed sequence that stops changing once inside; 200 steps fail with (3/4)^200, 1e-25.
+    the walk is an aggregate over a fixed sequence that stops changing once inside; 200 steps fail with (3/4)^200, 1e-25, and
+    that raises an error.
     """
     half = max(1, ((max(n, 2) - 1).bit_length() + 1) // 2)
     keys = round_keys(key)
@@ -163,7 +167,8 @@ def permute(numbers: DataFrame, n: int, number_col: str = "number", key: str = K
     walked = F.aggregate(F.sequence(F.lit(1), F.lit(200)), step(F.col(number_col)), lambda x, _: F.when(x < F.lit(n), x).otherwise(step(x)))
     first = numbers.withColumn("slot", step(F.col(number_col)))
     again = F.when(F.col("slot") < F.lit(n), F.col("slot")).otherwise(walked)
-    return first.withColumn("slot", again)
+    inside = F.when(F.col("slot") < F.lit(n), F.col("slot")).otherwise(F.raise_error(F.lit("the walk did not come inside")).cast("long"))
+    return first.withColumn("slot", again).withColumn("slot", inside)
 
 
 def place_sequences(seqs: DataFrame, *, shard_records: int = SHARD_RECORDS, key: str = KEY) -> tuple[DataFrame, int]:
@@ -197,34 +202,18 @@ def write_places(placed: DataFrame) -> str:
 
     def write(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by("row")
-        _put(path, f"{key[0].as_py()}.bin", [np.stack([table.column(c).to_numpy() for c in ("number", "slot")]).astype("<i8").tobytes()])
+        put_file(path, f"{key[0].as_py()}.bin", [np.stack([table.column(c).to_numpy() for c in ("number", "slot")]).astype("<i8").tobytes()])
         return pa.table({"dealt": [key[0].as_py()], "n": [len(table)]})
 
     materialise(placed.select("dealt", "row", "number", "slot").groupBy("dealt").applyInArrow(write, "dealt long, n long"), "tokens-written")
     return path
 
 
-def _put(path: str, name: str, pieces: list[bytes]) -> None:
-    """Write a file under a name of the task's own and then rename it, so a repeated task leaves the same file."""
-    from pyarrow import fs
-
-    system, top = fs.FileSystem.from_uri(path)
-    system.create_dir(top, recursive=True)
-    own = f"{top}/.{name}.{hashlib.md5(np.random.bytes(16)).hexdigest()}"
-    with system.open_output_stream(own) as f:
-        for x in pieces:
-            f.write(x)
-    system.move(own, f"{top}/{name}")
-
-
 def with_places(seqs: DataFrame, path: str, columns: tuple[str, ...], first: int = 0, last: int = 1 << 62) -> DataFrame:
     """`columns` of `seqs` with number and slot from the files of `write_places`; rows of slots from `first` to before `last`."""
     kinds = dict(seqs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        system, top = fs.FileSystem.from_uri(path)
         have, table = None, np.zeros((2, 0), np.int64)
         for whole in batches:
             dealt = whole.column("dealt").to_numpy()
@@ -234,8 +223,7 @@ def with_places(seqs: DataFrame, path: str, columns: tuple[str, ...], first: int
                     continue
                 if have != dealt[a]:
                     have = dealt[a]
-                    with system.open_input_file(f"{top}/{have}.bin") as f:
-                        table = np.frombuffer(f.read(), "<i8").reshape(2, -1)
+                    table = np.frombuffer(read_file(path, f"{have}.bin"), "<i8").reshape(2, -1)
                 batch = whole.slice(a, b - a)
                 number, slot = table[:, batch.column("row").to_numpy()]
                 keep = np.flatnonzero((slot >= first) & (slot < last))
@@ -247,18 +235,18 @@ def with_places(seqs: DataFrame, path: str, columns: tuple[str, ...], first: int
 
 
 def by_slot(rows: DataFrame, n: int, shard_records: int = SHARD_RECORDS) -> DataFrame:
-    """`rows` range-partitioned and sorted by slot."""
+    """`rows` dealt by ranges of slots, as many as there are shuffle partitions but none of over 4 shards, and sorted. The
+    bounds are known (slots are 0..n-1, each once), so every range has the same number of rows and nothing is sampled."""
     parts = max(1, -(-n // (4 * shard_records)), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     size = max(1, -(-n // parts))
-    size = -(-size // shard_records) * shard_records if size >= shard_records else size
-    return rows.repartition(parts, F.floor(F.col("slot") / size)).sortWithinPartitions("slot")
+    return rows.repartitionById(max(1, -(-n // size)), F.floor(F.col("slot") / size).cast("int")).sortWithinPartitions("slot")
 
 
 def training_order(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", seq_len: int = SEQ_LEN, shard_records: int = SHARD_RECORDS, key: str = KEY, vocabulary: str = VOCABULARY) -> DataFrame:
     """Rows (id, part, n_tokens, ids, number, slot, shard, record), range-partitioned and sorted by slot.
 
-    The same documents, key and lengths give the same slots, however the input is partitioned: see `place_sequences`. A
-    null id comes first. Null text is the empty text: a sequence with the end token alone. Null and repeated ids, and
+    The same documents, key and lengths give the same slots, however the input is partitioned: see `place_sequences`. Ids may
+    be of any type that has an order; a null id comes first. Other columns don't matter, whatever their names. Null text is the empty text: a sequence with the end token alone. Null and repeated ids, and
     repeated rows, are kept like others. An empty table gives an empty result. The payload is shuffled once.
     """
     seqs = materialise(sequences(docs, id_col=id_col, text_col=text_col, seq_len=seq_len, vocabulary=vocabulary), "tokens")
@@ -269,8 +257,8 @@ def training_order(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
 
 def write_all_shards(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", seq_len: int = SEQ_LEN, shard_records: int = SHARD_RECORDS, key: str = KEY, vocabulary: str = VOCABULARY) -> tuple[str, DataFrame]:
-    """Write the whole training order as raw shards in the shared folder. Returns their path and the rows (id, part,
-    n_tokens, number, slot, shard, record) by slot, without the payload.
+    """Write the whole training order as raw shards with a manifest in the shared folder. Returns their path and the rows
+    (id, part, n_tokens, number, slot, shard, record) by slot, without the payload.
 
     Shards are written in WAVES runs of slots, so a shuffle holds only so large a part of the payload at a time.
     """
@@ -280,12 +268,40 @@ def write_all_shards(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     places, path = write_places(placed), new_path(spark, "tokens-shards")
     wave = -(-n // (WAVES * shard_records)) * shard_records
     for first in range(0, n, max(wave, 1)):
-        rows = with_places(seqs, places, ("ids",), first, first + wave)
-        rows = rows.withColumn("shard", F.floor(F.col("slot") / shard_records).cast("long")).withColumn("record", F.pmod("slot", F.lit(shard_records)).cast("long"))
-        materialise(write_raw_shards(rows, path, shard_records=shard_records, seq_len=seq_len), "tokens-shards-written")
+        rows = with_places(seqs, places, ("ids",), first, first + wave).select("slot", "ids")
+        materialise(write_raw_shards(rows, path, n, first=first, last=min(n, first + wave), shard_records=shard_records, seq_len=seq_len), "tokens-shards-written")
+    write_manifest(path, n, seq_len=seq_len, shard_records=shard_records, key=key, vocabulary=vocabulary)
     return path, by_slot(placed.drop("dealt", "row"), n, shard_records)
 
 
+def write_manifest(path: str, n: int, *, seq_len: int, shard_records: int, key: str, vocabulary: str) -> None:
+    """What a reader has to know, as JSON; an order is the same if its manifest and documents are."""
+    with open(vocabulary, "rb") as f:
+        digest = hashlib.md5(f.read()).hexdigest()
+    what = {"sequences": n, "shards": -(-n // shard_records), "shard_records": shard_records, "seq_len": seq_len, "stride": 2 * seq_len, "type": "uint16 little-endian", "end_id": END_ID, "pad_id": PAD_ID, "key": key, "rounds": ROUNDS, "numbered_by": "id, text hash, part", "vocabulary": vocabulary.rsplit("/", 1)[-1], "vocabulary_md5": digest}
+    put_file(path, "manifest.json", [json.dumps(what, indent=1).encode()])
+
+
+def read_manifest(path: str) -> dict:
+    return json.loads(read_file(path, "manifest.json"))
+
+
+def read_on(path: str, slot: int = 0) -> Iterator[tuple[int, np.ndarray]]:
+    """(slot, IDs) from `slot` on, in order: a reader that stopped goes on there. Shards are read one after the other."""
+    from pyarrow import fs
+
+    m = read_manifest(path)
+    system, top = fs.FileSystem.from_uri(path)
+    while slot < m["sequences"]:
+        k, record = divmod(slot, m["shard_records"])
+        with system.open_input_file(f"{top}/shard-{k:08d}.bin") as f:
+            f.seek(record * m["stride"])
+            while slot < min((k + 1) * m["shard_records"], m["sequences"]):
+                ids = np.frombuffer(f.read(m["stride"]), "<u2")
+                yield slot, ids[ids != m["pad_id"]]
+                slot += 1
+
+
 def read_shards(rows: DataFrame, path: str, *, seq_len: int = SEQ_LEN) -> DataFrame:
     """`rows` (by slot) with read_tokens and ids_md5 of the records in the shard files, each read at record * stride."""
     stride, names = 2 * seq_len, rows.columns
@@ -320,22 +336,37 @@ def write_token_shards(ordered: DataFrame, path: str, *, shard_records: int = SH
     ordered.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").mode("overwrite").parquet(path)
 
 
-def write_raw_shards(ordered: DataFrame, path: str, *, shard_records: int = SHARD_RECORDS, seq_len: int = SEQ_LEN) -> DataFrame:
+def write_raw_shards(rows: DataFrame, path: str, n: int, *, first: int = 0, last: int | None = None, shard_records: int = SHARD_RECORDS, seq_len: int = SEQ_LEN) -> DataFrame:
     """Write raw fixed-stride files ``shard-K.bin`` under `path`, a file system that executors can open with pyarrow.
 
-    `ordered` has slot, shard, record and ids. A shard is written under a name of its task's own and then renamed, so a repeated
-    task leaves the same file. Returns (shard, n_records, bytes).
+    `rows` (slot, ids) has each slot from `first`, a shard's first, to before `last` (default: `n`) once. They are dealt by
+    ranges of slots, whole shards to a task, sorted, and written as they come. A shard is written under a name of its task's
+    own and then renamed, so a repeated task leaves the same file. Returns (shard, n_records, bytes).
     """
-    def write(key: tuple, table: pa.Table) -> pa.Table:
-        k = key[0].as_py()
-        table = table.sort_by("slot")
-        if not np.array_equal(table.column("record").to_numpy(), np.arange(len(table))):
-            raise ValueError(f"shard {k} lacks a record or has one twice")
-        ids = table.column("ids").to_pylist()
-        _put(path, f"shard-{k:08d}.bin", ids)
-        return pa.table({"shard": [k], "n_records": [len(ids)], "bytes": [len(ids) * 2 * seq_len]})
-
-    return ordered.groupBy("shard").applyInArrow(write, "shard long, n_records long, bytes long")
+    last = n if last is None else last
+    shards = -(-(last - first) // shard_records)
+    each = max(1, -(-shards // 20_000))
+    span = each * shard_records
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        at = None
+        for batch in batches:
+            for slot, ids in zip(batch.column("slot").to_pylist(), batch.column("ids"), strict=True):
+                if slot != at and (at is not None or slot % shard_records):
+                    raise ValueError(f"slot {slot} comes where {at} should")
+                held.append(ids.as_py())
+                at = slot + 1
+                if at % shard_records == 0 or at == last:
+                    k = slot // shard_records
+                    put_file(path, f"shard-{k:08d}.bin", held)
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([len(held)], pa.int64()), pa.array([len(held) * 2 * seq_len], pa.int64())], names=["shard", "n_records", "bytes"])
+                    held = []
+        if held:
+            raise ValueError(f"the shard of slot {at - 1} lacks its end")
+
+    dealt = rows.select("slot", "ids").repartitionById(max(1, -(-(last - first) // span)), F.floor((F.col("slot") - first) / span).cast("int"))
+    return dealt.sortWithinPartitions("slot").mapInArrow(write, "shard long, n_records long, bytes long")
 
 
 def read_record(path: str, slot: int, *, shard_records: int = SHARD_RECORDS, seq_len: int = SEQ_LEN) -> np.ndarray:

@@ -120,26 +120,91 @@ def test_fingerprints_tell_layouts_apart():
 def test_base_secrets():
     rng = random.Random(1)
     bits = ['token = "abcdef0123456789abcd"', "AKIA" + "Z9" * 9, "PASSWORD:short", "api_key='A+/=._-0123456789'", "deadbeef" * 3, "tokens", "\n", "é", "secret==abcdefghijkl", "AKIA1"]
-    plain = {
-        "assign": (re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= 12),
-        "access": (re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 18),
-        "hex": (re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 16),
-    }
     for _ in range(300):
         text = rng.choice(["", " "]).join(rng.choices(bits, k=rng.randint(0, 8)))
         raw = text.encode()
         got = [(len(raw[:s].decode()), len(raw[:e].decode()), secrets.KINDS[k]) for s, e, k, _ in secrets.base_spans(raw)]
-        want = sorted((m.start(), m.end(), i, k) for i, (k, (p, ok)) in enumerate(plain.items()) for m in p.finditer(text) if ok(m))
-        assert got == [(s, e, k) for s, e, _, k in want]
+        assert sorted(got) == sorted((s, e, k) for s, _, e, k in plain_spans(text))
 
 
-def test_formats_are_learnt():
+def plain_spans(text):
+    """The base spans by plain patterns: (start, end, kind)."""
+    kinds = {
+        "assign": (re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= 12),
+        "access": (re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 18),
+        "hex": (re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 16),
+    }
+    return sorted(((m.start(), i, m.end(), k) for i, (k, (p, ok)) in enumerate(kinds.items()) for m in p.finditer(text) if ok(m)))
+
+
+def test_secrets_query(spark, texts):
+    """The query's columns against plain patterns; its format spans are runs that the models prefer."""
+    formats = secrets.fit(spark.read.parquet(f"{SF}/documents.parquet"))
+    for r in queries.op5_secrets(spark, SF).collect():
+        text = texts[r.doc_id] or ""
+        base = plain_spans(text)
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == x[3] for x in base) for k in ("assign", "access", "hex")]
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, _, e, k in base).encode()).hexdigest()
+        runs = [m for m in re.finditer(r"[A-Za-z0-9+/_.=-]{12,}", text, re.A)]
+        more = [(m.start(), 3, m.end(), "format") for m in runs if formats.margin(m[0].encode())[0] > secrets.MARGIN]
+        assert r.spans == ",".join(f"{k}:{s}:{e}" for s, _, e, k in sorted(base + more)) and r.n_candidates == len(runs)
+
+
+def test_planted_formats_are_found(spark):
+    """Credentials of formats that are labelled in some texts and stand bare in others; clean long words stay out."""
     rng = random.Random(2)
-    fake = lambda: "sk-" + "".join(rng.choices("ABCDEFGHJKLMNPQRSTUVWXYZ23456789", k=24))
-    words = ["".join(rng.choices(["tion", "ing", "er", "re", "th", "an"], k=6)).encode() for _ in range(300)]
-    f = secrets.Formats({"assign": [fake().encode() for _ in range(200)]}, words[:200])
-    assert all(f.margin(fake().encode())[0] > secrets.MARGIN for _ in range(100))
-    assert not any(f.margin(w)[0] > secrets.MARGIN for w in words[200:])
+    upper, alnum = "ABCDEFGHJKLMNPQRSTUVWXYZ23456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    made = [lambda: "sk-" + "".join(rng.choices(upper, k=24)), lambda: "gh_" + "".join(rng.choices(alnum, k=36)), lambda: "".join(rng.choices("0123456789abcdef", k=40)), lambda: "".join(rng.choices(upper, k=12))]
+    word = lambda n: "".join(rng.choices(["tion", "ing", "er", "re", "th", "an", "sch", "ou"], k=n))
+    rows, planted = [], {}
+    for i in range(300):
+        long = " ".join(word(rng.choice([2, 5, 6, 7])) for _ in range(20)) + " é " + rng.choice(["97.51.17.173", "mail3.example.com", "see/also/the-other", "12.-13.10.2024"])
+        if i % 3 == 0:
+            rows.append((i, f'{long} api_key = "{rng.choice(made)()}" {long}'))
+        elif i % 3 == 1:
+            planted[i] = rng.choice(made)()
+            rows.append((i, f"{long} {planted[i]} {long}"))
+        else:
+            rows.append((i, long))
+    got = {r.doc_id: r for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    text = dict(rows)
+    spans = {i: [text[i][s.start : s.end] for s in r.spans if s.kind == "format"] for i, r in got.items()}
+    assert sum(planted[i] in spans[i] for i in planted) >= 0.9 * len(planted)
+    assert sum(len(spans[i]) for i in range(2, 300, 3)) == 0
+    assert sum(len(spans[i]) - (planted[i] in spans[i]) for i in planted) == 0
+
+
+def test_formats_hold_on_the_tables(spark):
+    """Credentials of the given tables, taken bare: learnt from one half of the texts, told in the other; words aren't."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").collect()]
+    values, words = {0: set(), 1: set()}, {0: set(), 1: set()}
+    for i, t in rows:
+        raw = (t or "").encode()
+        runs = secrets.candidates(raw)
+        spans = secrets.base_spans(raw, runs)
+        values[i % 2].update((k, v) for _, _, k, v in spans)
+        words[i % 2].update(raw[a:b] for a, b in secrets.apart(runs, spans))
+    labelled = {}
+    for k, v in sorted(values[0]):
+        labelled.setdefault(f"{secrets.KINDS[k]}/{secrets.shape(v)}", []).append(v)
+    some = sorted(words[0], key=lambda w: hashlib.md5(w).digest())[:8000]
+    formats = secrets.Formats({k: v[:400] for k, v in labelled.items()}, tuple([w for w in some if secrets.half_of(w) == h] for h in (0, 1)))
+    new = {v for _, v in values[1] - values[0]}
+    assert len(new) > 100 and np.mean([formats.margin(v)[0] > secrets.MARGIN for v in new]) >= 0.9
+    assert np.mean([formats.margin(w)[0] > secrets.MARGIN for w in words[1] - words[0]]) < 0.001
+
+
+def test_long_texts_take_linear_time():
+    import time
+
+    took = []
+    for n in (2_000, 8_000):
+        raw = " ".join(f"token=abcdef{i:012d}" for i in range(n)).encode()
+        began = time.perf_counter()
+        runs = secrets.candidates(raw)
+        secrets.apart(runs, secrets.base_spans(raw, runs))
+        took.append(time.perf_counter() - began)
+    assert took[1] < 12 * took[0]
 
 
 def test_token_round_trip(spark, docs, texts):
@@ -166,7 +231,7 @@ def test_order_is_of_the_documents(spark, docs):
 def test_raw_shards(spark, docs, tmp_path):
     ordered = tokens.training_order(docs.limit(20), seq_len=64, shard_records=16)
     path = f"file://{tmp_path}/raw"
-    tokens.write_raw_shards(ordered, path, seq_len=64).collect()
+    tokens.write_raw_shards(ordered, path, ordered.count(), shard_records=16, seq_len=64).collect()
     for r in ordered.collect():
         want = [x for x in np.frombuffer(bytes(r.ids), "<u2").tolist() if x != tokens.PAD_ID]
         assert tokens.read_record(path, r.slot, shard_records=16, seq_len=64).tolist() == want
@@ -194,6 +259,34 @@ def test_token_query_writes_and_reads_shards(spark, docs, texts, monkeypatch):
     assert [r.slot for r in rows if after[r.slot] != r.ids_md5] == [5]
 
 
+def test_resumed_reading(spark, docs):
+    """A reader that stops anywhere and goes on at its slot sees what one that never stopped sees; the input's split doesn't matter."""
+    d = docs.select("doc_id", "text").limit(60)
+    seen = []
+    for part in (d.coalesce(1), d.repartition(5)):
+        path, rows = tokens.write_all_shards(part, seq_len=64, shard_records=16)
+        m = tokens.read_manifest(path)
+        seen.append([(s, x.tolist()) for s, x in tokens.read_on(path)])
+        assert m["sequences"] == len(seen[-1]) == rows.count() and m["stride"] == 128 and m["shards"] == -(-m["sequences"] // 16)
+        for stop in (1, 15, 16, 17, m["sequences"] - 1, m["sequences"]):
+            assert [(s, x.tolist()) for s, x in tokens.read_on(path, stop)] == seen[-1][stop:]
+    assert seen[0] == seen[1] and [s for s, _ in seen[0]] == list(range(len(seen[0])))
+
+
+def test_ranges_of_slots(spark):
+    rows = tokens.permute(spark.range(1000).withColumnRenamed("id", "number"), 1000)
+    got = tokens.by_slot(rows, 1000, 16).withColumn("p", F.spark_partition_id()).groupBy("p").agg(F.min("slot").alias("lo"), F.max("slot").alias("hi"), F.count("*").alias("n")).orderBy("p").collect()
+    assert all(r.hi - r.lo + 1 == r.n for r in got) and max(r.n for r in got) - min(r.n for r in got[:-1]) <= 1
+    assert [r.lo for r in got] == sorted(r.lo for r in got)
+
+
+def test_broken_shards_fail(spark, tmp_path):
+    for slots in ([0, 1, 3], [0, 1, 1, 2], [1, 2, 3]):
+        df = spark.createDataFrame([(s, bytes(128)) for s in slots], "slot long, ids binary")
+        with pytest.raises(Exception, match="slot|end"):
+            tokens.write_raw_shards(df, f"file://{tmp_path}/x", 4, shard_records=4, seq_len=64).collect()
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 17, 1000])
 def test_permutation(spark, n):
     got = [r.slot for r in tokens.permute(spark.range(n).withColumnRenamed("id", "number"), n).collect()]
