@@ -1,24 +1,26 @@
 """Language-model scoring by a hierarchical Pitman-Yor model of word pairs.
 
 Every word (and a text's start) is a restaurant of the words that follow it; all these restaurants share one parent, the
-restaurant of single words, whose base is uniform over the training vocabulary and one unknown word. A customer of a
-pair's restaurant sits at a table of its word, existing tables drawing by size less the discount, a new one by
-(strength + discount * tables) * the parent's probability, and each table sends one customer to the parent. Gibbs sampling
-removes customers at random and seats them again; several seatings are kept and their predictive probabilities averaged.
-
-The corpus is far too large for one sampler. The texts are cut into blocks of words coded by the block's own vocabulary.
-Blocks send each different pair with its count to ranges, dealt by context, so a range has whole restaurants (contexts too
-common for that are dealt over several ranges by the following word, and their tables are added up). Ranges seat all their
-restaurants side by side, with the parent's probabilities as their own tables show them, and send tables by word to the
-parent's ranges, which seat the parent in the same way. Each block gets back the counts and tables of the pairs and words
-it has, and scores its texts. What is sent grows with the corpus; what a task holds is bounded by the sizes of blocks and
-ranges; nothing but sums, and the contexts that hold half a range each, reaches the driver.
+restaurant of single words, whose base is uniform over the training vocabulary and one unknown word. Each table of a word in
+a context's restaurant is a customer of the word in the parent. A sweep draws the tables of all words in all contexts, given
+the parent's probabilities as its present seating has them, then the parent's own tables, given what the contexts sent it;
+the next sweep sees the new parent. All dishes of a sweep are drawn side by side, each given the state before the sweep.
+After BURN sweeps the predictive probabilities of SAMPLES states are averaged. See `seating` for the draw.
+
+How it is dealt out. Texts are cut into blocks of words, coded by the block's own vocabulary. A block sends its different
+pairs with their counts to ranges, dealt by a hash of the pair, so no context, however common, is in one place. A range
+keeps its pairs and their tables in a file of the shared folder. A sweep is two exchanges: ranges send the tables of each
+word they know, as a context and as a follower, to the word's dictionary part; that adds them up, seats the word in the
+parent and answers with the sums. In the end the ranges answer the blocks with a probability for each pair. A message holds
+what one block or range has for one other, so messages are no more than pairs; a task holds one block, range or part.
+Nothing but sums reaches the driver. Random numbers are hashes of words, so neither partitions nor the number of ranges
+change a result.
 """
 
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,38 +30,30 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialise
+from .places import quoted
+from .seating import draw_tables
+from .store import drop_path, materialise, new_path, put_file, read_file, write_table
 from .words import U64, mix
 
-BLOCK_TOKENS, RANGE_TOKENS = 2_000_000, 4_000_000
-COMMON = 1 / 16384
+BLOCK_TOKENS, RANGE_TOKENS = 2_000_000, 2_000_000
 DISCOUNT, STRENGTH = (0.7, 0.8), (1.0, 1.0)
-SAMPLES, BURN, THIN = 3, 4, 2
-#: Customers of one word in one restaurant that are seated singly; the tables of those beyond are added as expected.
-SEATED = 4096
+SAMPLES, BURN = 3, 2
 END, START = 0, 1
-_END, _START = (xxhash.xxh64_intdigest(x) for x in (b" end ", b" start "))
-LOW48 = U64((1 << 48) - 1)
+_END, _START = b" end ", b" start "
 
 
-def pack(*arrays: np.ndarray) -> bytes:
+def pack(*arrays) -> bytes:
     return zstandard.compress(pickle.dumps(arrays, protocol=5), 1)
 
 
-def unpack(raw: bytes) -> tuple[np.ndarray, ...]:
+def unpack(raw: bytes) -> tuple:
     return pickle.loads(zstandard.decompress(raw))
 
 
-def _split48(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (x & U64(0xFFFFFFFF)).astype(np.uint32), ((x >> U64(32)) & U64(0xFFFF)).astype(np.uint16)
-
-
-def _join48(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    return lo.astype(U64) | (hi.astype(U64) << U64(32))
-
-
-def _least_type(x: np.ndarray) -> np.ndarray:
-    return x.astype(np.uint16) if len(x) and x.max() < 1 << 16 else x.astype(np.uint32)
+def _small(x: np.ndarray) -> np.ndarray:
+    """Counts in as few bytes as they need."""
+    most = int(x.max()) if len(x) else 0
+    return x.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.uint64)
 
 
 def held_out(id_col: Column) -> Column:
@@ -67,41 +61,34 @@ def held_out(id_col: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")), F.lit(7)) == 2
 
 
-def make_blocks(rows: DataFrame) -> DataFrame:
-    """Blocks (block, n_tokens, common, times, payload) of rows (id long, held boolean, text).
-
-    Payload: ids, ids that are null, held, tokens a text, tokens as indices of the vocabulary (0 end, 1 start), the
-    vocabulary's hashes.
-    """
+def make_blocks(rows: DataFrame, path: str) -> DataFrame:
+    """(block, n_tokens) of rows (id string, held boolean, text); a block's contents are the file block-N under `path`:
+    ids, held, tokens a text, tokens as indices of the vocabulary (0 end, 1 start), the vocabulary's hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = 0
 
         def start():
-            return {b" end ": END, b" start ": START}, [], [], [], [], []
+            return {_END: END, _START: START}, [], [], [], []
 
-        def flush(vocab, ids, null, held, n, toks):
+        def flush(vocab, ids, held, n, toks):
             nonlocal number
-            tokens = np.concatenate(toks)
-            hashes = np.fromiter(map(xxhash.xxh64_intdigest, vocab), U64, len(vocab))
-            times = np.bincount(tokens, minlength=len(vocab))
-            times[START] = len(ids)
-            common = np.flatnonzero(times >= max(COMMON * len(tokens), 2))
             block = (TaskContext.get().partitionId() << 24) | number
             number += 1
-            payload = pack(np.array(ids, np.int64), np.array(null, bool), np.array(held, bool), np.array(n, np.int64), tokens, hashes)
-            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([len(tokens)], pa.int64()), pa.array([hashes[common].view(np.int64)], pa.list_(pa.int64())), pa.array([times[common]], pa.list_(pa.int64())), pa.array([payload], pa.binary())], names=["block", "n_tokens", "common", "times", "payload"])
+            hashes = np.fromiter(map(xxhash.xxh64_intdigest, vocab), U64, len(vocab))
+            tokens = np.concatenate(toks)
+            put_file(path, f"block-{block}", [pack(ids, np.array(held, bool), np.array(n, np.int64), tokens, hashes)])
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([len(tokens)], pa.int64())], names=["block", "n_tokens"])
 
         state, size = start(), 0
         for batch in batches:
             for i, h, text in zip(batch.column("id").to_pylist(), batch.column("held").to_pylist(), batch.column("text"), strict=True):
-                vocab, ids, null, held, n, toks = state
+                vocab, ids, held, n, toks = state
                 words = (text.as_py() or "").encode().lower().split()
-                words.append(b" end ")
+                words.append(_END)
                 put = vocab.setdefault
                 toks.append(np.fromiter((put(w, len(vocab)) for w in words), np.uint32, len(words)))
-                ids.append(i or 0)
-                null.append(i is None)
+                ids.append(i)
                 held.append(h)
                 n.append(len(words))
                 size += len(words)
@@ -111,289 +98,300 @@ def make_blocks(rows: DataFrame) -> DataFrame:
         if state[1]:
             yield flush(*state)
 
-    return rows.mapInArrow(run, "block long, n_tokens long, common array<long>, times array<long>, payload binary")
+    return rows.mapInArrow(run, "block long, n_tokens long")
+
+
+def part_of(h: np.ndarray, n: int) -> np.ndarray:
+    """Which of n ranges or dictionary parts a hash falls in."""
+    return (mix(h + U64(0x632BE59BD9B4E019)) % U64(n)).astype(np.int64)
+
+
+def pair_hash(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mix(mix(u) + w)
+
+
+def _cuts(part: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """(part, its slice) of a sorted array of parts, those that there are."""
+    first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else np.zeros(0, np.int64)
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(part)], strict=True):
+        yield int(part[a]), slice(a, b)
 
 
-class Layout:
-    """How a block's pairs are dealt to ranges, the same when they are sent and when the replies come."""
+class Block:
+    """A block's different pairs, in the order in which they are sent and answered."""
 
-    def __init__(self, payload: bytes, n_ranges: int, heavy: dict[int, int]):
-        self.ids, self.null, self.held, self.n, self.tokens, self.vocab = unpack(payload)
-        first = np.cumsum(self.n) - self.n
+    def __init__(self, path: str, block: int, n_ranges: int):
+        self.ids, self.held, self.n, self.tokens, self.vocab = unpack(read_file(path, f"block-{block}"))
         context = np.empty(len(self.tokens), np.int64)
         context[1:] = self.tokens[:-1]
-        context[first] = START
-        self.pairs, pair = np.unique(context * len(self.vocab) + self.tokens, return_inverse=True)
-        self.pair = pair.astype(np.int32)
-        self.context, self.word = np.divmod(self.pairs, len(self.vocab))
+        context[np.cumsum(self.n) - self.n] = START
+        pairs, self.pair = np.unique(context * len(self.vocab) + self.tokens, return_inverse=True)
+        del context
         self.train = np.repeat(~self.held, self.n)
-        self.count = np.bincount(self.pair, self.train, len(self.pairs)).astype(np.uint32)
-        del context, pair
-        wings = np.ones(len(self.vocab), np.int64)
-        for i in np.flatnonzero(np.isin(self.vocab, np.array(list(heavy), U64))):
-            wings[i] = heavy[int(self.vocab[i])]
-        seen = np.unique(self.context)
-        home = mix(self.vocab)
-        w = wings[self.context]
-        wing = np.where(w > 1, (mix(self.vocab[self.word] ^ home[self.context]) % w.astype(U64)).astype(np.int64), 0)
-        self.range = ((home[self.context] + wing.astype(U64)) % U64(n_ranges)).astype(np.int64)
-        self.order = np.argsort(self.range, kind="stable")
-        # Every context of the block with every range it has, also where no pair of the block falls.
-        k = wings[seen]
-        ctx = np.repeat(seen, k)
-        of = np.arange(len(ctx)) - np.repeat(np.cumsum(k) - k, k)
-        span = ((home[ctx] + of.astype(U64)) % U64(n_ranges)).astype(np.int64)
-        by = np.lexsort((ctx, span))
-        self.ctx, self.ctx_range = ctx[by], span[by]
-        self.n_ranges = n_ranges
-
-    def parts(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(range, contexts, pairs in order)."""
-        pair_ends = np.searchsorted(self.range[self.order], np.arange(self.n_ranges + 1))
-        ctx_ends = np.searchsorted(self.ctx_range, np.arange(self.n_ranges + 1))
-        for r in range(self.n_ranges):
-            ctx = self.ctx[ctx_ends[r] : ctx_ends[r + 1]]
-            if len(ctx):
-                yield r, ctx, self.order[pair_ends[r] : pair_ends[r + 1]]
-
-    def words(self) -> Iterator[tuple[int, np.ndarray]]:
-        """(range, vocabulary indices) of the words, the start aside."""
-        used = np.flatnonzero(np.arange(len(self.vocab)) != START)
-        of = (mix(self.vocab[used] & LOW48) % U64(self.n_ranges)).astype(np.int64)
+        self.count = np.bincount(self.pair, self.train, len(pairs)).astype(np.int64)
+        self.u, self.w = np.divmod(pairs, len(self.vocab))
+        of = part_of(pair_hash(self.vocab[self.u], self.vocab[self.w]), n_ranges)
+        self.order = np.argsort(of, kind="stable")
+        self.range = of[self.order]
+        words = np.flatnonzero(np.arange(len(self.vocab)) != START)
+        of = part_of(self.vocab[words], n_ranges)
         by = np.argsort(of, kind="stable")
-        ends = np.searchsorted(of[by], np.arange(self.n_ranges + 1))
-        for r in range(self.n_ranges):
-            if ends[r] < ends[r + 1]:
-                yield r, used[by[ends[r] : ends[r + 1]]]
+        self.words, self.word_part = words[by], of[by]
 
 
-def seat(rng: np.random.Generator, c: np.ndarray, room: np.ndarray, base: np.ndarray, discount: float, strength: float, scale: np.ndarray, *, samples: int = SAMPLES, burn: int = BURN, thin: int = THIN) -> np.ndarray:
-    """Tables (samples x dishes) of dishes with c > 0 customers in rooms (restaurants), by Gibbs sampling.
+SENT = "kind int, to long, src long, payload binary"
+PAIRS, WORDS, TABLES, SUMS, PAIR_REPLY, WORD_REPLY, TOTALS = range(7)
 
-    base: the parent's probability of the dish; scale: by how much a room's tables here are to be multiplied for all of it.
-    Every step takes one customer of each dish away at random and seats it again: at a table of its dish by size less the
-    discount, at a new one by (strength + discount * the room's tables) * base. A dish of one customer has one table.
-    """
-    n_rooms = int(room.max()) + 1 if len(room) else 0
-    many = np.flatnonzero(c > 1)
-    out = np.ones((samples, len(c)), np.int64)
-    if not len(many):
-        return out
-    m, rooms, p = np.minimum(c[many], SEATED).astype(np.int64), room[many], base[many]
-    ones = np.bincount(room, minlength=n_rooms)
-    opens = lambda t: (strength + discount * scale[rooms] * (ones + np.bincount(rooms, t - 1, n_rooms))[rooms]) * p
-    first = np.cumsum(m) - m
-    dish = np.repeat(np.arange(len(m)), m)
-    nth = np.arange(int(m.sum())) - first[dish]
-    z = np.arange(len(dish))
-    a = opens(np.ones(len(m)))
-    span = 1
-    while span < m.max():
-        who = np.flatnonzero((nth >= span) & (nth < 2 * span))
-        d = dish[who]
-        joins = rng.random(len(who)) >= a[d] / (a[d] + nth[who])
-        who, d = who[joins], d[joins]
-        z[who] = z[first[d] + (rng.random(len(who)) * span).astype(np.int64)]
-        span *= 2
-    del dish, nth
-    size = np.bincount(z, minlength=len(z))
-    t = np.add.reduceat((size > 0).astype(np.int64), first)
-    for step in range(burn + thin * samples):
-        own = (rng.random(len(m)) * m).astype(np.int64)
-        x = first + own
-        size[z[x]] -= 1
-        t -= size[z[x]] == 0
-        a = opens(t)
-        new = rng.random(len(m)) * (a + m - 1 - discount * t) < a
-        left = np.flatnonzero(~new)
-        while len(left):
-            r = (rng.random(len(left)) * (m[left] - 1)).astype(np.int64)
-            table = z[first[left] + r + (r >= own[left])]
-            ok = rng.random(len(left)) * size[table] < size[table] - discount
-            z[x[left[ok]]] = table[ok]
-            left = left[~ok]
-        size_new = np.flatnonzero(new)
-        z[x[size_new]] = len(size) + np.arange(len(size_new))
-        size = np.concatenate((size, np.zeros(len(size_new), np.int64)))
-        np.add.at(size, z[x], 1)
-        t += new
-        if step >= burn and (step - burn) % thin == thin - 1:
-            more = a * np.log((a + c[many]) / (a + m))
-            out[(step - burn) // thin, many] = np.minimum(t + np.floor(more + rng.random(len(m))).astype(np.int64), c[many])
-    return out
-
-
-def _rows(out: list[tuple]) -> pa.Table:
-    cols = list(zip(*out, strict=True)) or [()] * 4
-    return pa.table({"kind": pa.array(cols[0], pa.int32()), "to": pa.array(cols[1], pa.int64()), "src": pa.array(cols[2], pa.int64()), "payload": pa.array(cols[3], pa.binary())})
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["kind", "to", "src", "payload"])
 
-SENT = "kind int, to long, src long, payload binary"
-PAIRS, PAIR_REPLY, TABLES, WORDS, WORD_REPLY, TOTALS = range(6)
+
+def _in_batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[3])
+        if size > 8 << 20 or len(held) >= 5000:
+            yield _batch(held)
+            held, size = [], 0
+    if held:
+        yield _batch(held)
 
 
-def score_corpus(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", discount: tuple[float, float] = DISCOUNT, strength: tuple[float, float] = STRENGTH, seed: int = 11) -> DataFrame:
+def exchange(sent: DataFrame, n: int, work: Callable[[int, list[tuple]], Iterator[tuple]]) -> DataFrame:
+    """What `work` (range, its messages (kind, src, payload) in order) sends on, for each of n ranges; a task has whole
+    ranges, dealt by number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            to, held = None, []
+            for batch in batches:
+                for k, t, s, x in zip(*(batch.column(c).to_pylist() for c in ("kind", "to", "src")), batch.column("payload"), strict=True):
+                    if t != to:
+                        if held:
+                            yield from work(to, held)
+                        to, held = t, []
+                    held.append((k, s, x.as_py()))
+            if held:
+                yield from work(to, held)
+
+        yield from _in_batches(rows())
+
+    dealt = sent.repartitionById(n, F.col("to").cast("int")) if n < 1 << 20 else sent.repartition(1 << 20, "to")
+    return dealt.sortWithinPartitions("to", "kind", "src").mapInArrow(run, SENT)
+
+
+def parent_probability(customers, tables, all_customers: int, all_tables: int, n_vocab: int, discount: float, strength: float):
+    """The parent's predictive probability of words with these customers and tables; of the unknown word with none."""
+    rest = customers - discount * tables
+    return (rest + (strength + discount * all_tables) / (n_vocab + 1)) / (strength + all_customers)
+
+
+def predict(c, t, all_c, all_t, parent, discount: float, strength: float):
+    """A context's predictive probability of words with c customers at t tables, of all_c at all_t."""
+    return (c - discount * t + (strength + discount * all_t) * parent) / (strength + all_c)
+
+
+class Sampler:
+    """The tasks of a model: each reads its state from the shared folder and gives messages."""
+
+    def __init__(self, path: str, n: int, discount: tuple[float, float], strength: tuple[float, float], seed: int, burn: int, samples: int):
+        self.path, self.n, self.seed, self.burn, self.samples = path, n, seed, burn, samples
+        (self.d0, self.d1), (self.s0, self.s1) = discount, strength
+
+    def _salted(self, h: np.ndarray) -> np.ndarray:
+        return mix(h ^ U64((self.seed * 0x9E3779B97F4A7C15) & (2**64 - 1)))
+
+    def from_block(self, block: int) -> Iterator[tuple]:
+        """A block's pairs to ranges (the words it needs, and pairs of places among them), its words to the dictionary."""
+        b = Block(self.path, block, self.n)
+        for r, cut in _cuts(b.range):
+            at = b.order[cut]
+            words, place = np.unique(np.concatenate((b.u[at], b.w[at])), return_inverse=True)
+            place = place.astype(np.uint32)
+            yield PAIRS, r, block, pack(b.vocab[words], place[: len(at)], place[len(at) :], _small(b.count[at]))
+        times = np.bincount(b.tokens, b.train, len(b.vocab)).astype(np.int64)
+        for q, cut in _cuts(b.word_part):
+            yield WORDS, q, block, pack(b.vocab[b.words[cut]], _small(times[b.words[cut]]))
+
+    def gather(self, r: int, messages: list[tuple]) -> Iterator[tuple]:
+        """A range's pairs from all blocks. Its words are in order of (dictionary part, hash)."""
+        parts = [unpack(x) for _, _, x in messages]
+        words = np.unique(np.concatenate([p[0] for p in parts]))
+        of = part_of(words, self.n)
+        by = np.argsort(of, kind="stable")
+        back = np.empty(len(by), np.int64)
+        back[by] = np.arange(len(by))
+        keys = []
+        for p in parts:
+            local = back[np.searchsorted(words, p[0])]
+            keys.append(local[p[1]] * len(words) + local[p[2]])
+        pairs, kind = np.unique(np.concatenate(keys), return_inverse=True)
+        del keys
+        c = np.bincount(kind, np.concatenate([p[3] for p in parts]), len(pairs)).astype(np.int64)
+        u, w = np.divmod(pairs, len(words))
+        words, of = words[by], of[by]
+        ends = np.cumsum([len(p[1]) for p in parts])
+        replies = [(s, kind[b - len(p[1]) : b].astype(np.uint32)) for (_, s, _), p, b in zip(messages, parts, ends.tolist(), strict=True)]
+        put_file(self.path, f"range-{r}", [pack(words, of, u.astype(np.uint32), w.astype(np.uint32), c)])
+        put_file(self.path, f"asked-{r}", [pack(replies)])
+        start = (c > 0).astype(np.int64)
+        put_file(self.path, f"tables-{r}-0", [pack(_small(start), None)])
+        yield from self._tell(r, words, of, u, w, start, c)
+
+    def _tell(self, r: int, words, of, u, w, t, c=None) -> Iterator[tuple]:
+        """A range's tables, and at first its customers, by word: those in its restaurant, and those that it sends the parent."""
+        n = len(words)
+        own, sent = np.bincount(u, t, n).astype(np.int64), np.bincount(w, t, n).astype(np.int64)
+        all_c = None if c is None else np.bincount(u, c, n).astype(np.int64)
+        for q, cut in _cuts(of):
+            first = () if c is None else (words[cut], _small(all_c[cut]))
+            yield TABLES, q, r, pack(_small(own[cut]), _small(sent[cut]), *first)
+
+    def add_up(self, q: int, messages: list[tuple], sweep: int, all_tables: int | None) -> Iterator[tuple]:
+        """A dictionary part: sums by word, the words seated in the parent, and answers."""
+        parts = [unpack(x) for _, _, x in messages]
+        asked = [i for i, m in enumerate(messages) if m[0] == TABLES]
+        if sweep == 0:
+            words, index = np.unique(np.concatenate([p[2] if m[0] == TABLES else p[0] for m, p in zip(messages, parts, strict=True)]), return_inverse=True)
+            ends = np.cumsum([len(p[0]) for p in parts])
+            index = [index[b - len(p[0]) : b].astype(np.uint32) for p, b in zip(parts, ends.tolist(), strict=True)]
+            times, all_c = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+            for (kind, _, _), p, i in zip(messages, parts, index, strict=True):
+                if kind == WORDS:
+                    times[i] += p[1]
+                else:
+                    all_c[i] += p[3]
+            for (kind, block, _), i in zip(messages, index, strict=True):
+                if kind == WORDS:
+                    yield WORD_REPLY, block, q, pack(_small(times[i]))
+            put_file(self.path, f"dictionary-{q}", [pack(words, all_c, [(messages[i][1], index[i]) for i in asked])])
+            known, trained = int((times > 0).sum()), int(times.sum())
+            last = None
+        else:
+            words, all_c, places = unpack(read_file(self.path, f"dictionary-{q}"))
+            index, known, trained = [i for _, i in places], 0, 0
+            if [s for s, _ in places] != [m[1] for m in messages]:
+                raise RuntimeError("a range's message is missing")
+            last = unpack(read_file(self.path, f"words-{q}-{sweep - 1}"))[0].astype(np.int64)
+        own, sent = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        for i in asked:
+            own[index[i]] += parts[i][0]
+            sent[index[i]] += parts[i][1]
+        tables = (sent > 0).astype(np.int64)
+        if sweep:
+            # The words' tables in the parent, given the other words'. The base is uniform: its probability is in `theta`.
+            n_vocab, total = all_tables
+            live = np.flatnonzero(sent)
+            before = np.where(last[live] > 0, last[live], 1)
+            theta = np.maximum(self.s0 + self.d0 * (total - before), self.s0)
+            tables[live] = draw_tables(sent[live], np.minimum(before, sent[live]), theta, np.full(len(live), 1 / (n_vocab + 1)), self.d0, self._salted(words[live] + U64(1)), sweep - 1)
+        put_file(self.path, f"words-{q}-{sweep}", [pack(_small(tables))])
+        for i in asked:
+            k = index[i]
+            yield SUMS, messages[i][1], q, pack(_small(own[k]), _small(sent[k]), _small(tables[k]), *((_small(all_c[k]),) if sweep == 0 else ()))
+        yield TOTALS, -1, q, pack(np.array([sent.sum(), tables.sum(), known, trained]))
+
+    def draw(self, r: int, messages: list[tuple], sweep: int, totals: tuple[int, int], n_vocab: int) -> Iterator[tuple]:
+        """A range's part of a sweep. The state before it (`sweep` sweeps old) is whole now: it counts in the average, if it
+        is one of the last; then tables are drawn anew. After the last sweep the blocks get their answers instead."""
+        words, of, u, w, c = unpack(read_file(self.path, f"range-{r}"))
+        t, mean = unpack(read_file(self.path, f"tables-{r}-{sweep}"))
+        t, parts = t.astype(np.int64), [unpack(x) for _, _, x in messages]
+        own, sent, tables = (np.concatenate([p[i] for p in parts]).astype(np.int64) for i in range(3))
+        if sweep == 0:
+            all_c = np.concatenate([p[3] for p in parts]).astype(np.int64)
+            put_file(self.path, f"contexts-{r}", [pack(_small(all_c))])
+        else:
+            all_c = unpack(read_file(self.path, f"contexts-{r}"))[0].astype(np.int64)
+        if len(own) != len(words):
+            raise RuntimeError("a dictionary part's message is missing")
+        parent = parent_probability(sent, tables, *totals, n_vocab, self.d0, self.s0)
+        if sweep > self.burn:
+            p = predict(c, t, all_c[u], own[u], parent[w], self.d1, self.s1)
+            mean = p if mean is None else mean + p
+        if sweep == self.burn + self.samples:
+            log = np.log10(mean / self.samples).astype(np.float32)
+            for block, kind in unpack(read_file(self.path, f"asked-{r}"))[0]:
+                yield PAIR_REPLY, block, r, pack(log[kind])
+            return
+        some = np.flatnonzero(c > 1)
+        theta = self.s1 + self.d1 * (own[u[some]] - t[some])
+        t[some] = draw_tables(c[some], t[some], theta, parent[w[some]], self.d1, self._salted(pair_hash(words[u[some]], words[w[some]])), sweep)
+        put_file(self.path, f"tables-{r}-{sweep + 1}", [pack(_small(t), mean)])
+        yield from self._tell(r, words, of, u, w, t)
+
+    def score(self, block: int, messages: list[tuple], n_vocab: int, trained: int) -> pa.RecordBatch:
+        b = Block(self.path, block, self.n)
+        log, times = np.empty(len(b.order)), np.zeros(len(b.vocab))
+        log[b.order] = np.concatenate([unpack(x)[0] for k, _, x in messages if k == PAIR_REPLY])
+        times[b.words] = np.concatenate([unpack(x)[0] for k, _, x in messages if k == WORD_REPLY])
+        first = np.cumsum(b.n) - b.n
+        base = np.log10((times + 1) / (trained + n_vocab + 1))
+        add = lambda x: np.add.reduceat(x, first)
+        cols = [pa.array(b.ids, pa.string()), pa.array(b.held), pa.array(b.n), pa.array(add((times > 0)[b.tokens].astype(np.int64))), pa.array(np.full(len(b.n), trained, np.int64)), pa.array(add(base[b.tokens])), pa.array(add(log[b.pair]))]
+        return pa.RecordBatch.from_arrays(cols, names=NAMES)
+
+
+NAMES = ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+
+
+def score_corpus(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", discount: tuple[float, float] = DISCOUNT, strength: tuple[float, float] = STRENGTH, seed: int = 11, burn: int = BURN, samples: int = SAMPLES) -> DataFrame:
     """(id_col, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity), one row a row of `docs`.
 
     Letters A-Z are lower-cased; words are runs without ASCII white space, and each text has one end token. Null text is
     empty: its end alone is scored. base_score: add-one unigrams in log10. score: log10 of the averaged predictive
-    probabilities, summed. perplexity: 10 ** (-score / n_tokens). Repeated rows each count in training; a null id counts
-    as an empty one for the hold-out. With no training row the vocabulary is empty and every token is the unknown word.
-    An empty table gives an empty result. Reruns over the same partitions agree.
+    probabilities, summed. perplexity: 10 ** (-score / n_tokens). Repeated rows each count in training. Ids may be of any
+    type that has a text form; a null id counts as an empty one for the hold-out. Other columns don't matter, whatever
+    their names. With no training row the vocabulary is empty and every token is the unknown word. An empty table gives an
+    empty result. Reruns agree, however the input is partitioned.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), held_out(F.col(id_col)).alias("held"), F.col(text_col).alias("text"))
-    blocks = materialise(make_blocks(rows), "lm-blocks")
-    total = int(blocks.agg(F.sum("n_tokens")).first()[0] or 0)
-    n_ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_TOKENS))
-    common = blocks.select(F.explode(F.arrays_zip("common", "times")).alias("x")).groupBy("x.common").agg(F.sum("x.times").alias("n")).where(F.col("n") >= total / n_ranges / 2)
-    heavy = {int(r.common) & (2**64 - 1): min(n_ranges, -(-2 * r.n * n_ranges // total)) for r in common.collect()}
-    heavy_all = spark.sparkContext.broadcast(heavy)
-    d0, d1 = discount
-    s0, s1 = strength
+    path = new_path(spark, "lm")
+    rows = docs.select(quoted(id_col).cast("string").alias("id"), held_out(quoted(id_col)).alias("held"), quoted(text_col).alias("text"))
+    kind = dict(docs.select(quoted(id_col).alias("id")).dtypes)["id"]
+    blocks = materialise(make_blocks(rows, path), "lm-blocks")
+    total, n_blocks = blocks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.count("*")).first()
+    n = max(1, -(-total // RANGE_TOKENS))
+    task = Sampler(path, n, discount, strength, seed, burn, samples)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _in_batches(row for batch in batches for block in batch.column("block").to_pylist() for row in task.from_block(block))
+
+    sent, sent_path = write_table(blocks.repartition(max(1, n_blocks), "block").mapInArrow(send, SENT), "lm-sent")
+    up, up_path = write_table(exchange(sent.where(F.col("kind") == PAIRS), n, task.gather), "lm-up")
+    words = sent.where(F.col("kind") == WORDS)
+    found, n_vocab, trained, totals = None, 0, 0, (0, 0)
+    for sweep in range(burn + samples + 1):
+        arrived = up.unionByName(words) if sweep == 0 else up
+        before = None if sweep == 0 else (n_vocab, totals[1])
+        down, down_path = write_table(exchange(arrived, n, lambda q, m, k=sweep, b=before: task.add_up(q, m, k, b)), "lm-down")
+        sums = np.zeros(4, np.int64)
+        for row in down.where(F.col("kind") == TOTALS).select("payload").toLocalIterator():
+            sums += unpack(bytes(row.payload))[0]
+        totals = int(sums[0]), int(sums[1])
+        drop_path(spark, up_path)
+        if sweep == 0:
+            n_vocab, trained = int(sums[2]), int(sums[3])
+            found = materialise(down.where(F.col("kind") == WORD_REPLY), "lm-word-replies")
+            drop_path(spark, sent_path)
+        up, up_path = write_table(exchange(down.where(F.col("kind") == SUMS), n, lambda r, m, k=sweep, a=totals: task.draw(r, m, k, a, n_vocab)), "lm-up")
+        drop_path(spark, down_path)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = None, []
         for batch in batches:
-            for block, payload in zip(batch.column("block").to_pylist(), batch.column("payload"), strict=True):
-                lay = Layout(payload.as_py(), n_ranges, heavy_all.value)
-                out = []
-                for r, ctx, order in lay.parts():
-                    follow = np.diff(np.searchsorted(lay.context[order], np.append(ctx, len(lay.vocab))))
-                    out.append((PAIRS, r, block, pack(lay.vocab[ctx], follow.astype(np.uint32), *_split48(lay.vocab[lay.word[order]]), _least_type(lay.count[order]))))
-                    if len(out) >= 64:
-                        yield _rows(out).combine_chunks().to_batches()[0]
-                        out = []
-                if out:
-                    yield _rows(out).combine_chunks().to_batches()[0]
-
-    def send_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, payload in zip(batch.column("block").to_pylist(), batch.column("payload"), strict=True):
-                lay = Layout(payload.as_py(), n_ranges, {})
-                count = np.bincount(lay.tokens, lay.train, len(lay.vocab)).astype(np.uint32)
-                yield _rows([(WORDS, r, block, pack(lay.vocab[w], count[w])) for r, w in lay.words()]).combine_chunks().to_batches()[0]
-
-    def seat_range(key: tuple, table: pa.Table) -> pa.Table:
-        r = key[0].as_py()
-        table = table.sort_by("src")
-        parts = [unpack(x.as_py()) for x in table.column("payload")]
-        entry_ctx = np.concatenate([np.repeat(p[0], p[1]) for p in parts])
-        word = np.concatenate([_join48(p[2], p[3]) for p in parts])
-        count = np.concatenate([p[4].astype(np.int64) for p in parts])
-        all_ctx, ctx_of = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        _, at, kind = np.unique(mix(mix(entry_ctx) + word), return_index=True, return_inverse=True)
-        c = np.bincount(kind, count, len(at)).astype(np.int64)
-        room = np.searchsorted(all_ctx, entry_ctx[at])
-        words, dish = np.unique(word[at], return_inverse=True)
-        live = np.flatnonzero(c)
-        types = np.bincount(dish[live], minlength=len(words))
-        base = np.maximum(types - d0, 1 - d0)[dish[live]] / max(1.0, types.sum())
-        scale = np.ones(len(all_ctx))
-        big = np.array(list(heavy_all.value), U64)
-        for i in np.flatnonzero(np.isin(all_ctx, big)):
-            scale[i] = heavy_all.value[int(all_ctx[i])]
-        rng = np.random.default_rng([seed, r])
-        tables = np.zeros((SAMPLES, len(c)), np.int64)
-        if len(live):
-            tables[:, live] = seat(rng, c[live], room[live], base, d1, s1, scale)
-        room_c = np.bincount(room, c, len(all_ctx)).astype(np.int64)
-        room_t = np.stack([np.bincount(room, t, len(all_ctx)) for t in tables]).astype(np.int64)
-        summed = tables.sum(0)
-        out, a, b = [], 0, 0
-        for src, p in zip(table.column("src").to_pylist(), parts, strict=True):
-            k, n = ctx_of[a : a + len(p[0])], kind[b : b + len(p[2])]
-            a, b = a + len(p[0]), b + len(p[2])
-            out.append((PAIR_REPLY, src, r, pack(_least_type(room_c[k]), _least_type(room_t[0][k]), (room_t[1:, k] - room_t[0][k]).astype(np.int32), _least_type(c[n]), _least_type(summed[n]))))
-        got = np.unique(dish[live])
-        by_word = np.stack([np.bincount(dish, t, len(words)) for t in tables]).astype(np.int64)[:, got]
-        words = words[got]
-        of = (mix(words) % U64(n_ranges)).astype(np.int64)
-        by = np.argsort(of, kind="stable")
-        ends = np.searchsorted(of[by], np.arange(n_ranges + 1))
-        for q in range(n_ranges):
-            if ends[q] < ends[q + 1]:
-                w = by[ends[q] : ends[q + 1]]
-                out.append((TABLES, q, r, pack(*_split48(words[w]), _least_type(by_word[0, w]), (by_word[1:, w] - by_word[0, w]).astype(np.int32))))
-        return _rows(out)
-
-    sent = blocks.select("block", "payload").mapInArrow(send, SENT)
-    replies = materialise(sent.groupBy("to").applyInArrow(seat_range, SENT), "lm-pairs")
-
-    def seat_words(key: tuple, table: pa.Table) -> pa.Table:
-        q = key[0].as_py()
-        table = table.sort_by([("kind", "ascending"), ("src", "ascending")])
-        kinds, srcs = table.column("kind").to_pylist(), table.column("src").to_pylist()
-        parts = [unpack(x.as_py()) for x in table.column("payload")]
-        mine = [i for i, k in enumerate(kinds) if k == WORDS]
-        if not mine:
-            return _rows([])
-        vocab, index = np.unique(np.concatenate([parts[i][0] for i in mine]), return_inverse=True)
-        c = np.bincount(index, np.concatenate([parts[i][1] for i in mine]), len(vocab)).astype(np.int64)
-        low = vocab & LOW48
-        order = np.argsort(low, kind="stable")
-        t = np.zeros((SAMPLES, len(vocab)), np.int64)
-        for i, k in enumerate(kinds):
-            if k == TABLES:
-                lo, hi, one, more = parts[i]
-                w = order[np.searchsorted(low[order], _join48(lo, hi))]
-                t[0, w] += one
-                for s in range(1, SAMPLES):
-                    t[s, w] += one.astype(np.int64) + more[s - 1]
-        known = np.flatnonzero(c)
-        rng = np.random.default_rng([seed, 1 << 20, q])
-        tables = np.zeros((SAMPLES, len(vocab)), np.int64)
-        if len(known):
-            one = np.zeros(len(known), np.int64)
-            flat = np.full(len(known), 1 / len(known))
-            for s in range(SAMPLES):
-                tables[s, known] = seat(rng, np.maximum(t[s, known], 1), one, flat, d0, s0 / n_ranges, np.ones(1), samples=1)[0]
-        t = np.where(c > 0, np.maximum(t, 1), 0)
-        rest = (t - d0 * tables).astype(np.float32)
-        out, a = [], 0
-        for i in mine:
-            k = index[a : a + len(parts[i][0])]
-            a += len(k)
-            out.append((WORD_REPLY, srcs[i], q, pack(_least_type(c[k]), rest[:, k])))
-        out.append((TOTALS, -1, q, pack(np.array([c.sum(), len(known)]), t.sum(1), tables.sum(1))))
-        return _rows(out)
-
-    by_word = blocks.select("block", "payload").mapInArrow(send_words, SENT).unionByName(replies.where(F.col("kind") == TABLES))
-    word_replies = materialise(by_word.groupBy("to").applyInArrow(seat_words, SENT), "lm-words")
-    sums = [np.zeros(2, np.int64), np.zeros(SAMPLES, np.int64), np.zeros(SAMPLES, np.int64)]
-    for row in word_replies.where(F.col("kind") == TOTALS).select("payload").collect():
-        sums = [x + y for x, y in zip(sums, unpack(bytes(row.payload)), strict=True)]
-    (n_train, n_vocab), customers, tables = sums
-    fresh = (s0 + d0 * tables) / (s0 + customers) / (n_vocab + 1)
-    names = ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-
-    def score(key: tuple, table: pa.Table) -> pa.Table:
-        kinds = table.column("kind").to_pylist()
-        payload = {(k, s): x for k, s, x in zip(kinds, table.column("src").to_pylist(), table.column("payload"), strict=True)}
-        del table
-        lay = Layout(payload[-1, -1].as_py(), n_ranges, heavy_all.value)
-        room_c, room_t = np.zeros(len(lay.vocab)), np.zeros((SAMPLES, len(lay.vocab)))
-        c, t = np.zeros(len(lay.pairs)), np.zeros(len(lay.pairs))
-        for r, ctx, order in lay.parts():
-            rc, rt, more, pc, pt = unpack(payload[PAIR_REPLY, r].as_py())
-            room_c[ctx] += rc
-            room_t[0, ctx] += rt
-            room_t[1:, ctx] += rt + more.astype(np.int64)
-            c[order], t[order] = pc, pt / SAMPLES
-        wc, rest = np.zeros(len(lay.vocab)), np.zeros((SAMPLES, len(lay.vocab)))
-        for q, w in lay.words():
-            wc[w], rest[:, w] = unpack(payload[WORD_REPLY, q].as_py())
-        parent = rest / (s0 + customers)[:, None] + fresh[:, None]
-        u, w = lay.context, lay.word
-        back = ((s1 + d1 * room_t[:, u]) * parent[:, w]).mean(0)
-        log = np.log10((np.maximum(c - d1 * t, 0) + back) / (s1 + room_c[u]))
-        first = np.cumsum(lay.n) - lay.n
-        base = np.log10((wc + 1) / (n_train + n_vocab + 1))
-        add = lambda x: np.add.reduceat(x, first)
-        cols = [pa.array(lay.ids, mask=lay.null), pa.array(lay.held), pa.array(lay.n), pa.array(add((wc > 0)[lay.tokens].astype(np.int64))), pa.array(np.full(len(lay.n), n_train, np.int64)), pa.array(add(base[lay.tokens])), pa.array(add(log[lay.pair]))]
-        return pa.table(dict(zip(names, cols, strict=True)))
-
-    own = blocks.select(F.lit(-1).cast("int").alias("kind"), F.col("block").alias("to"), F.lit(-1).cast("long").alias("src"), "payload")
-    everything = own.unionByName(replies.where(F.col("kind") == PAIR_REPLY)).unionByName(word_replies.where(F.col("kind") == WORD_REPLY))
-    scored = everything.groupBy("to").applyInArrow(score, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    kind = dict(docs.dtypes)[id_col]
-    return scored.select(F.col("id").cast(kind).alias(id_col), *names[1:], F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
+            for k, to, src, x in zip(*(batch.column(c).to_pylist() for c in ("kind", "to", "src")), batch.column("payload"), strict=True):
+                if to != block:
+                    if held:
+                        yield task.score(block, held, n_vocab, trained)
+                    block, held = to, []
+                held.append((k, src, x.as_py()))
+        if held:
+            yield task.score(block, held, n_vocab, trained)
+
+    answers = up.unionByName(found).repartition(max(1, n_blocks), "to").sortWithinPartitions("to", "kind", "src")
+    scored = answers.mapInArrow(score, "id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return scored.select(F.col("id").cast(kind).alias(id_col), *NAMES[1:], F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))

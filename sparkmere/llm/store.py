@@ -61,16 +61,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{top}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as a table in the shared folder and read it back: cuts lineage and survives lost executors.
-
-    The files go when the application ends.
-    """
+def write_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write `df` as a table in the shared folder and read it back: cuts lineage and survives lost executors. Gives its path
+    too; the files go when the application ends, or before by `drop_path`."""
     spark = df.sparkSession
     path = new_path(spark, name)
     with _early_cleanup(spark):
         df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """`write_table` without the path."""
+    return write_table(df, name)[0]
 
 
 def measured_bytes(df: DataFrame) -> int:

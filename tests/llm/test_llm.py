@@ -1,10 +1,12 @@
 """The operators against brute force, round trips and awkward tables."""
 
+import collections
 import hashlib
 import itertools
 import json
 import random
 import re
+import zlib
 from pathlib import Path
 
 import numpy as np
@@ -12,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sparkmere.llm import chat, components, decontamination, hpylm, mixing, neardup, quality, queries, repeats, secrets, sharding, tokens
+from sparkmere.llm import chat, components, decontamination, hpylm, mixing, neardup, quality, queries, repeats, seating, secrets, sharding, tokens
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -459,29 +461,149 @@ def test_bad_hosts(spark):
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in got.where("kept").collect()} and kept.count() == 400
 
 
-def test_language_model(spark, docs):
-    got = hpylm.score_corpus(docs).cache()
-    held = got.where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
-    assert held[0] > held[1] and got.count() == docs.count()
-    assert got.where("score >= 0 OR score IS NULL OR isnan(score)").count() == 0
-
-
-def test_seating():
-    rng = np.random.default_rng(0)
-    c, room = np.array([1, 50, 5, 20_000]), np.array([0, 0, 1, 1])
-    t = hpylm.seat(rng, c, room, np.array([0.1, 0.1, 0.1, 0.3]), 0.8, 1.0, np.ones(2))
-    assert (t >= 1).all() and (t <= c).all() and (t[:, 0] == 1).all() and t[:, 3].mean() > t[:, 2].mean()
-
-
-def test_seating_draws_the_prior():
-    """One dish of base 1 is the plain process: the mean number of tables is known."""
-    d, s, n = 0.5, 1.0, 30
-    want, t = 0.0, []
-    for i in range(n):
-        want += (s + d * want) / (s + i)
-    for k in range(60):
-        t.append(hpylm.seat(np.random.default_rng(k), np.array([n] * 20), np.arange(20), np.ones(20), d, s, np.ones(20), burn=400, thin=30).mean())
-    assert np.mean(t) == pytest.approx(want, rel=0.05)
+def test_language_model(spark, docs, texts):
+    """Held-out texts are told better than by add-one; the base columns against a plain count; partitions change nothing."""
+    got = {r.doc_id: r for r in hpylm.score_corpus(docs).collect()}
+    assert set(got) == set(texts) and all(r.score < 0 for r in got.values())
+    held = [r for r in got.values() if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+    again = {r.doc_id: r.score for r in hpylm.score_corpus(docs.repartition(7)).collect()}
+    assert again == {i: r.score for i, r in got.items()}
+    words = {i: [*(t or "").encode().lower().split(), b" end "] for i, t in texts.items()}
+    out = {i for i in texts if zlib.crc32(str(i).encode()) % 7 == 2}
+    count = collections.Counter(w for i, ws in words.items() if i not in out for w in ws)
+    n = sum(count.values())
+    for i, ws in words.items():
+        r = got[i]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (i in out, len(ws), sum(w in count for w in ws), n)
+        assert r.base_score == pytest.approx(sum(np.log10((count[w] + 1) / (n + len(count) + 1)) for w in ws))
+        assert r.perplexity == pytest.approx(10 ** (-r.score / len(ws)))
+
+
+def brute_pitman_yor(train, texts, discount, strength, sweeps, burn, seed=0):
+    """log10 probabilities of `texts` by seating each customer at a table of its own restaurant, one at a time."""
+    rng = random.Random(seed)
+    vocab = sorted({w for t in train for w in t})
+    (d0, d1), (s0, s1) = discount, strength
+    # rooms[u][w]: sizes of w's tables; the parent is the room None.
+    rooms = {None: {}}
+
+    def p_parent(w):
+        room = rooms[None]
+        tables, total = sum(map(len, room.values())), sum(map(sum, room.values()))
+        own = room.get(w, [])
+        return (sum(own) - d0 * len(own) + (s0 + d0 * tables) / (len(vocab) + 1)) / (s0 + total)
+
+    def p_word(u, w):
+        room = rooms.get(u, {})
+        tables, total = sum(map(len, room.values())), sum(map(sum, room.values()))
+        own = room.get(w, [])
+        return (sum(own) - d1 * len(own) + (s1 + d1 * tables) * p_parent(w)) / (s1 + total)
+
+    def add(u, w):
+        room = rooms.setdefault(u, {})
+        own, d, s = room.setdefault(w, []), d0 if u is None else d1, s0 if u is None else s1
+        base = 1 / (len(vocab) + 1) if u is None else p_parent(w)
+        weights = [n - d for n in own] + [(s + d * sum(map(len, room.values()))) * base]
+        k = rng.choices(range(len(weights)), weights)[0]
+        if k == len(own):
+            own.append(1)
+            if u is not None:
+                add(None, w)
+        else:
+            own[k] += 1
+
+    def remove(u, w):
+        own = rooms[u][w]
+        k = rng.choices(range(len(own)), own)[0]
+        own[k] -= 1
+        if not own[k]:
+            own.pop(k)
+            if u is not None:
+                remove(None, w)
+
+    customers = [(u, w) for t in train for u, w in zip(["<s>", *t], t)]
+    for u, w in customers:
+        add(u, w)
+    total = {}
+    for k in range(sweeps):
+        for u, w in customers:
+            remove(u, w)
+            add(u, w)
+        if k >= burn:
+            for u, w in {(u, w) for t in texts for u, w in zip(["<s>", *t], t)}:
+                total[u, w] = total.get((u, w), 0) + p_word(u, w)
+    return [sum(np.log10(total[u, w] / (sweeps - burn)) for u, w in zip(["<s>", *t], t)) for t in texts]
+
+
+def test_language_model_against_single_seating(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choices("abcdefgh", weights=[20, 9, 6, 4, 3, 2, 1, 1], k=rng.randrange(4, 60)))) for i in range(40)] + [(100, "a zzz b"), (101, "a a a a h")]
+    out = [zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows]
+    words = [[*t.split(), "<e>"] for _, t in rows]
+    want = brute_pitman_yor([w for w, o in zip(words, out) if not o], words, hpylm.DISCOUNT, hpylm.STRENGTH, 150, 30)
+    got = {r.doc_id: r.score for r in hpylm.score_corpus(spark.createDataFrame(rows, "doc_id long, text string"), burn=4, samples=16).collect()}
+    ratio = [got[i] / w for (i, _), w in zip(rows, want)]
+    assert abs(np.mean(ratio) - 1) < 0.005 and np.abs(np.array(ratio) - 1).max() < 0.03
+
+
+def test_probabilities_sum_to_one():
+    rng = np.random.default_rng(3)
+    vocab = 500
+    sent = rng.integers(1, 90, vocab)
+    tables = np.minimum(rng.integers(1, 30, vocab), sent)
+    d, s = hpylm.DISCOUNT, hpylm.STRENGTH
+    # The last is the unknown word: no customer and no table.
+    parent = hpylm.parent_probability(np.append(sent, 0), np.append(tables, 0), sent.sum(), tables.sum(), vocab, d[0], s[0])
+    assert parent.sum() == pytest.approx(1) and parent.min() > 0
+    for rate in (0, 0.2, 1):
+        c = np.append(rng.integers(1, 5000, vocab) * (rng.random(vocab) < rate), 0)
+        t = np.minimum(rng.integers(1, 300, vocab + 1), c)
+        assert hpylm.predict(c, t, c.sum(), t.sum(), parent, d[1], s[1]).sum() == pytest.approx(1)
+
+
+def set_partitions(n):
+    """The sizes of the blocks of all partitions of n things."""
+    if n == 0:
+        yield ()
+        return
+    for p in set_partitions(n - 1):
+        yield (*p, 1)
+        for i in range(len(p)):
+            yield (*p[:i], p[i] + 1, *p[i + 1 :])
+
+
+@pytest.mark.parametrize(("theta", "base"), [(1.0, 0.5), (40.0, 0.02), (9.0, 1e-3)])
+def test_tables_of_a_small_dish(theta, base):
+    """Against all seatings of seven customers, each with its probability."""
+    d, want = 0.8, np.zeros(8)
+    for sizes in set_partitions(7):
+        w = np.prod([np.prod(np.arange(1, n) - d) for n in sizes]) * base ** len(sizes)
+        want[len(sizes)] += w * np.prod(theta + d * np.arange(len(sizes)))
+    n = 60_000
+    got = seating.draw_tables(np.full(n, 7), np.ones(n, int), np.full(n, theta), np.full(n, base), d, seating.mix(np.arange(n, dtype=np.uint64)), 1)
+    assert np.abs(np.bincount(got, minlength=8) / n - want / want.sum()).max() < 0.01
+
+
+def test_tables_of_a_large_dish():
+    """One dish of base 1 is the plain process, whose mean number of tables is known, at any number of customers."""
+    d, s = 0.5, 1.0
+    for n in (50, 64, 65, 300, 5000, 200_000):
+        want = 0.0
+        for i in range(n):
+            want += (s + d * want) / (s + i)
+        t, k = np.ones(3000, int), 3000
+        for sweep in range(4):
+            t = seating.draw_tables(np.full(k, n), t, np.full(k, s), np.ones(k), d, seating.mix(np.arange(k, dtype=np.uint64)), sweep)
+        assert t.min() >= 1 and t.max() <= n and t.mean() == pytest.approx(want, rel=0.04)
+
+
+def test_stirling_numbers():
+    for d in (0.5, 0.7, 0.8):
+        table = seating.log_stirling_table(d, 400)
+        for c in (100, 400):
+            t = np.arange(1, c + 1)
+            assert np.abs(seating.log_stirling(np.full(c, float(c)), t.astype(float), d) - table[c, 1 : c + 1]).max() < 0.1
 
 
 OPS = {
