@@ -7,14 +7,14 @@ the parent's probabilities as its present seating has them, then the parent's ow
 the next sweep sees the new parent. All dishes of a sweep are drawn side by side, each given the state before the sweep.
 After BURN sweeps the predictive probabilities of SAMPLES states are averaged. See `seating` for the draw.
 
-How it is dealt out. Texts are cut into blocks of words, coded by the block's own vocabulary. A block sends its different
-pairs with their counts to ranges, dealt by a hash of the pair, so no context, however common, is in one place. A range
-keeps its pairs and their tables in a file of the shared folder. A sweep is two exchanges: ranges send the tables of each
-word they know, as a context and as a follower, to the word's dictionary part; that adds them up, seats the word in the
-parent and answers with the sums. In the end the ranges answer the blocks with a probability for each pair. A message holds
-what one block or range has for one other, so messages are no more than pairs; a task holds one block, range or part.
-Nothing but sums reaches the driver. Random numbers are hashes of words, so neither partitions nor the number of ranges
-change a result.
+How it is dealt out. Texts are cut into blocks of words, coded by the block's own vocabulary. A dictionary, in parts by the
+words' hashes, numbers all words. A block sends its different pairs with their counts to ranges, dealt by a hash of the pair,
+so no context, however common, is in one place. A range keeps its pairs and their tables in files of the shared folder. A
+sweep is two exchanges: ranges send the tables of each word they know, as a context and as a follower, to the word's
+dictionary part; that adds them up, seats the word in the parent and answers with the sums. In the end the ranges answer the
+blocks with a probability for each pair. A message holds what one block or range has for one other, so messages are no more
+than pairs; a task holds one block, range or part. Nothing but sums reaches the driver. There is a range for so many words
+of the corpus, and random numbers are hashes of the words' numbers, so partitions don't change a result.
 """
 
 from __future__ import annotations
@@ -39,6 +39,8 @@ BLOCK_TOKENS, RANGE_TOKENS = 2_000_000, 2_000_000
 DISCOUNT, STRENGTH = (0.7, 0.8), (1.0, 1.0)
 SAMPLES, BURN = 3, 2
 END, START = 0, 1
+#: The number of a text's start, as a context.
+NO_WORD = 1 << 40
 _END, _START = b" end ", b" start "
 
 
@@ -107,7 +109,13 @@ def part_of(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def pair_hash(u: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return mix(mix(u) + w)
+    """Of words' numbers."""
+    return mix(mix(u.astype(U64)) + w.astype(U64))
+
+
+def _steps(x: np.ndarray) -> np.ndarray:
+    """Rising numbers by what each adds to the one before."""
+    return _small(np.diff(x, prepend=0))
 
 
 def _cuts(part: np.ndarray) -> Iterator[tuple[int, slice]]:
@@ -118,29 +126,41 @@ def _cuts(part: np.ndarray) -> Iterator[tuple[int, slice]]:
 
 
 class Block:
-    """A block's different pairs, in the order in which they are sent and answered."""
+    """A block's texts, and once it knows its words' numbers its different pairs, in the order in which they are sent and
+    answered: by range, then number of the context and of the word."""
 
     def __init__(self, path: str, block: int, n_ranges: int):
+        self.n_ranges = n_ranges
         self.ids, self.held, self.n, self.tokens, self.vocab = unpack(read_file(path, f"block-{block}"))
-        context = np.empty(len(self.tokens), np.int64)
-        context[1:] = self.tokens[:-1]
-        context[np.cumsum(self.n) - self.n] = START
-        pairs, self.pair = np.unique(context * len(self.vocab) + self.tokens, return_inverse=True)
-        del context
         self.train = np.repeat(~self.held, self.n)
-        self.count = np.bincount(self.pair, self.train, len(pairs)).astype(np.int64)
-        self.u, self.w = np.divmod(pairs, len(self.vocab))
-        of = part_of(pair_hash(self.vocab[self.u], self.vocab[self.w]), n_ranges)
-        self.order = np.argsort(of, kind="stable")
-        self.range = of[self.order]
         words = np.flatnonzero(np.arange(len(self.vocab)) != START)
         of = part_of(self.vocab[words], n_ranges)
         by = np.argsort(of, kind="stable")
         self.words, self.word_part = words[by], of[by]
 
+    def pair_up(self, numbers: np.ndarray) -> None:
+        """numbers: of `words`. A text's start has a number of its own, beyond the others."""
+        number = np.full(len(self.vocab), NO_WORD, np.int64)
+        number[self.words] = numbers
+        rank = np.argsort(number, kind="stable")
+        place = np.empty(len(rank), np.int64)
+        place[rank] = np.arange(len(rank))
+        token = place[self.tokens]
+        context = np.empty(len(token), np.int64)
+        context[1:] = token[:-1]
+        context[np.cumsum(self.n) - self.n] = place[START]
+        pairs, self.pair = np.unique(context * len(rank) + token, return_inverse=True)
+        del context, token
+        self.count = np.bincount(self.pair, self.train, len(pairs)).astype(np.int64)
+        u, w = np.divmod(pairs, len(rank))
+        self.u, self.w = number[rank][u], number[rank][w]
+        of = part_of(pair_hash(self.u, self.w), self.n_ranges)
+        self.order = np.argsort(of, kind="stable")
+        self.range = of[self.order]
+
 
 SENT = "kind int, to long, src long, payload binary"
-PAIRS, WORDS, TABLES, SUMS, PAIR_REPLY, WORD_REPLY, TOTALS = range(7)
+PAIRS, WORDS, TABLES, SUMS, PAIR_REPLY, NUMBERS, TOTALS = range(7)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -160,27 +180,34 @@ def _in_batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
         yield _batch(held)
 
 
-def exchange(sent: DataFrame, n: int, work: Callable[[int, list[tuple]], Iterator[tuple]]) -> DataFrame:
-    """What `work` (range, its messages (kind, src, payload) in order) sends on, for each of n ranges; a task has whole
-    ranges, dealt by number."""
+def _by_target(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """(to, its messages (kind, src, payload) in order) of sorted messages."""
+    to, held = None, []
+    for batch in batches:
+        for k, t, s, x in zip(*(batch.column(c).to_pylist() for c in ("kind", "to", "src")), batch.column("payload"), strict=True):
+            if t != to:
+                if held:
+                    yield to, held
+                to, held = t, []
+            held.append((k, s, x.as_py()))
+    if held:
+        yield to, held
+
+
+def deliver(sent: DataFrame, n: int, numbered: bool = True) -> DataFrame:
+    """Messages sorted by target, whole targets to a task; numbered: targets are 0 to n - 1, and so dealt evenly."""
+    sent = sent.where("to >= 0")
+    dealt = sent.repartitionById(n, F.col("to").cast("int")) if numbered and n < 1 << 20 else sent.repartition(min(max(n, 1), 1 << 20), "to")
+    return dealt.sortWithinPartitions("to", "kind", "src")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            to, held = None, []
-            for batch in batches:
-                for k, t, s, x in zip(*(batch.column(c).to_pylist() for c in ("kind", "to", "src")), batch.column("payload"), strict=True):
-                    if t != to:
-                        if held:
-                            yield from work(to, held)
-                        to, held = t, []
-                    held.append((k, s, x.as_py()))
-            if held:
-                yield from work(to, held)
 
-        yield from _in_batches(rows())
+def exchange(sent: DataFrame, n: int, work: Callable[[int, list[tuple]], Iterator[tuple]], numbered: bool = True) -> DataFrame:
+    """What `work` (target, its messages) sends on, for each of n targets."""
 
-    dealt = sent.repartitionById(n, F.col("to").cast("int")) if n < 1 << 20 else sent.repartition(1 << 20, "to")
-    return dealt.sortWithinPartitions("to", "kind", "src").mapInArrow(run, SENT)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _in_batches(row for to, held in _by_target(batches) for row in work(to, held))
+
+    return deliver(sent, n, numbered).mapInArrow(run, SENT)
 
 
 def parent_probability(customers, tables, all_customers: int, all_tables: int, n_vocab: int, discount: float, strength: float):
@@ -204,130 +231,156 @@ class Sampler:
     def _salted(self, h: np.ndarray) -> np.ndarray:
         return mix(h ^ U64((self.seed * 0x9E3779B97F4A7C15) & (2**64 - 1)))
 
-    def from_block(self, block: int) -> Iterator[tuple]:
-        """A block's pairs to ranges (the words it needs, and pairs of places among them), its words to the dictionary."""
+    def words_of(self, block: int) -> Iterator[tuple]:
+        """A block's words and how often they are in training, to the dictionary."""
         b = Block(self.path, block, self.n)
-        for r, cut in _cuts(b.range):
-            at = b.order[cut]
-            words, place = np.unique(np.concatenate((b.u[at], b.w[at])), return_inverse=True)
-            place = place.astype(np.uint32)
-            yield PAIRS, r, block, pack(b.vocab[words], place[: len(at)], place[len(at) :], _small(b.count[at]))
         times = np.bincount(b.tokens, b.train, len(b.vocab)).astype(np.int64)
         for q, cut in _cuts(b.word_part):
             yield WORDS, q, block, pack(b.vocab[b.words[cut]], _small(times[b.words[cut]]))
 
+    def number(self, q: int, messages: list[tuple]) -> Iterator[tuple]:
+        """A dictionary part numbers its words: place in the order of their hashes, times the parts, plus the part."""
+        parts = [unpack(x) for _, _, x in messages]
+        words, index = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        times = np.bincount(index, np.concatenate([p[1] for p in parts]), len(words)).astype(np.int64)
+        at = 0
+        for (_, block, _), p in zip(messages, parts, strict=True):
+            k = index[at : at + len(p[0])]
+            at += len(k)
+            yield NUMBERS, block, q, pack(_small(k), _small(times[k]))
+        yield TOTALS, -1, q, pack(np.array([int((times > 0).sum()), int(times.sum())]))
+
+    def pairs_of(self, block: int, messages: list[tuple]) -> Iterator[tuple]:
+        """A block, told its words' numbers, keeps them and sends its pairs to their ranges."""
+        b = Block(self.path, block, self.n)
+        parts = [(q, *unpack(x)) for _, q, x in messages]
+        numbers = np.concatenate([k.astype(np.int64) * self.n + q for q, k, _ in parts])
+        put_file(self.path, f"numbers-{block}", [pack(numbers, _small(np.concatenate([t for _, _, t in parts])))])
+        b.pair_up(numbers)
+        for r, cut in _cuts(b.range):
+            at = b.order[cut]
+            yield PAIRS, r, block, pack(_steps(b.u[at]), _small(b.w[at]), _small(b.count[at]))
+
     def gather(self, r: int, messages: list[tuple]) -> Iterator[tuple]:
-        """A range's pairs from all blocks. Its words are in order of (dictionary part, hash)."""
+        """A range's pairs from all blocks, in order of their words' numbers."""
         parts = [unpack(x) for _, _, x in messages]
-        words = np.unique(np.concatenate([p[0] for p in parts]))
-        of = part_of(words, self.n)
-        by = np.argsort(of, kind="stable")
-        back = np.empty(len(by), np.int64)
-        back[by] = np.arange(len(by))
-        keys = []
-        for p in parts:
-            local = back[np.searchsorted(words, p[0])]
-            keys.append(local[p[1]] * len(words) + local[p[2]])
-        pairs, kind = np.unique(np.concatenate(keys), return_inverse=True)
-        del keys
-        c = np.bincount(kind, np.concatenate([p[3] for p in parts]), len(pairs)).astype(np.int64)
+        u = np.concatenate([np.cumsum(p[0].astype(np.int64)) for p in parts])
+        w = np.concatenate([p[1].astype(np.int64) for p in parts])
+        words, place = np.unique(np.concatenate((u, w)), return_inverse=True)
+        pairs, kind = np.unique(place[: len(u)] * len(words) + place[len(u) :], return_inverse=True)
+        del u, w, place
+        c = np.bincount(kind, np.concatenate([p[2] for p in parts]), len(pairs)).astype(np.int64)
         u, w = np.divmod(pairs, len(words))
-        words, of = words[by], of[by]
-        ends = np.cumsum([len(p[1]) for p in parts])
-        replies = [(s, kind[b - len(p[1]) : b].astype(np.uint32)) for (_, s, _), p, b in zip(messages, parts, ends.tolist(), strict=True)]
-        put_file(self.path, f"range-{r}", [pack(words, of, u.astype(np.uint32), w.astype(np.uint32), c)])
-        put_file(self.path, f"asked-{r}", [pack(replies)])
+        at, asked = 0, []
+        for (_, block, _), p in zip(messages, parts, strict=True):
+            asked.append((block, _steps(kind[at : at + len(p[0])])))
+            at += len(p[0])
+        put_file(self.path, f"range-{r}", [pack(words, _steps(u), _small(w), _small(c))])
+        put_file(self.path, f"asked-{r}", [pack(asked)])
         start = (c > 0).astype(np.int64)
-        put_file(self.path, f"tables-{r}-0", [pack(_small(start), None)])
-        yield from self._tell(r, words, of, u, w, start, c)
+        put_file(self.path, f"tables-{r}-0", [pack(_small(start))])
+        yield from self._tell(r, words, u, w, start, c)
+
+    def _by_part(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of the words by dictionary part, and the parts; the start of texts has part 0."""
+        of = np.where(words == NO_WORD, 0, words % self.n)
+        by = np.argsort(of, kind="stable")
+        return by, of[by]
 
-    def _tell(self, r: int, words, of, u, w, t, c=None) -> Iterator[tuple]:
-        """A range's tables, and at first its customers, by word: those in its restaurant, and those that it sends the parent."""
+    def _tell(self, r: int, words, u, w, t, c=None) -> Iterator[tuple]:
+        """A range's tables by word, those in its restaurant and those that it sends the parent; at first its customers and
+        the words too."""
         n = len(words)
         own, sent = np.bincount(u, t, n).astype(np.int64), np.bincount(w, t, n).astype(np.int64)
         all_c = None if c is None else np.bincount(u, c, n).astype(np.int64)
+        by, of = self._by_part(words)
         for q, cut in _cuts(of):
-            first = () if c is None else (words[cut], _small(all_c[cut]))
-            yield TABLES, q, r, pack(_small(own[cut]), _small(sent[cut]), *first)
+            at = by[cut]
+            first = () if c is None else (_steps(words[at]), _small(all_c[at]))
+            yield TABLES, q, r, pack(_small(own[at]), _small(sent[at]), *first)
 
-    def add_up(self, q: int, messages: list[tuple], sweep: int, all_tables: int | None) -> Iterator[tuple]:
+    def add_up(self, q: int, messages: list[tuple], sweep: int, before: tuple[int, int]) -> Iterator[tuple]:
         """A dictionary part: sums by word, the words seated in the parent, and answers."""
         parts = [unpack(x) for _, _, x in messages]
-        asked = [i for i, m in enumerate(messages) if m[0] == TABLES]
         if sweep == 0:
-            words, index = np.unique(np.concatenate([p[2] if m[0] == TABLES else p[0] for m, p in zip(messages, parts, strict=True)]), return_inverse=True)
-            ends = np.cumsum([len(p[0]) for p in parts])
-            index = [index[b - len(p[0]) : b].astype(np.uint32) for p, b in zip(parts, ends.tolist(), strict=True)]
-            times, all_c = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-            for (kind, _, _), p, i in zip(messages, parts, index, strict=True):
-                if kind == WORDS:
-                    times[i] += p[1]
-                else:
-                    all_c[i] += p[3]
-            for (kind, block, _), i in zip(messages, index, strict=True):
-                if kind == WORDS:
-                    yield WORD_REPLY, block, q, pack(_small(times[i]))
-            put_file(self.path, f"dictionary-{q}", [pack(words, all_c, [(messages[i][1], index[i]) for i in asked])])
-            known, trained = int((times > 0).sum()), int(times.sum())
-            last = None
+            words, index = np.unique(np.concatenate([np.cumsum(p[2].astype(np.int64)) for p in parts]), return_inverse=True)
+            ends = np.cumsum([len(p[0]) for p in parts]).tolist()
+            index = [index[b - len(p[0]) : b] for p, b in zip(parts, ends, strict=True)]
+            all_c = np.zeros(len(words), np.int64)
+            for p, i in zip(parts, index, strict=True):
+                all_c[i] += p[3]
+            put_file(self.path, f"dictionary-{q}", [pack(words, [(m[1], _steps(i)) for m, i in zip(messages, index, strict=True)])])
         else:
-            words, all_c, places = unpack(read_file(self.path, f"dictionary-{q}"))
-            index, known, trained = [i for _, i in places], 0, 0
+            words, places = unpack(read_file(self.path, f"dictionary-{q}"))
             if [s for s, _ in places] != [m[1] for m in messages]:
                 raise RuntimeError("a range's message is missing")
-            last = unpack(read_file(self.path, f"words-{q}-{sweep - 1}"))[0].astype(np.int64)
+            index = [np.cumsum(i.astype(np.int64)) for _, i in places]
         own, sent = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-        for i in asked:
-            own[index[i]] += parts[i][0]
-            sent[index[i]] += parts[i][1]
+        for p, i in zip(parts, index, strict=True):
+            own[i] += p[0]
+            sent[i] += p[1]
         tables = (sent > 0).astype(np.int64)
         if sweep:
-            # The words' tables in the parent, given the other words'. The base is uniform: its probability is in `theta`.
-            n_vocab, total = all_tables
+            # The words' tables in the parent, given the other words'. The base is uniform.
+            n_vocab, total = before
             live = np.flatnonzero(sent)
-            before = np.where(last[live] > 0, last[live], 1)
-            theta = np.maximum(self.s0 + self.d0 * (total - before), self.s0)
-            tables[live] = draw_tables(sent[live], np.minimum(before, sent[live]), theta, np.full(len(live), 1 / (n_vocab + 1)), self.d0, self._salted(words[live] + U64(1)), sweep - 1)
+            last = np.clip(unpack(read_file(self.path, f"words-{q}-{sweep - 1}"))[0][live], 1, sent[live]).astype(np.int64)
+            theta = self.s0 + self.d0 * np.maximum(total - last, 0)
+            tables[live] = draw_tables(sent[live], last, theta, np.full(len(live), 1 / (n_vocab + 1)), self.d0, self._salted(mix(words[live].astype(U64) + U64(1))), sweep - 1)
         put_file(self.path, f"words-{q}-{sweep}", [pack(_small(tables))])
-        for i in asked:
-            k = index[i]
-            yield SUMS, messages[i][1], q, pack(_small(own[k]), _small(sent[k]), _small(tables[k]), *((_small(all_c[k]),) if sweep == 0 else ()))
-        yield TOTALS, -1, q, pack(np.array([sent.sum(), tables.sum(), known, trained]))
+        for m, i in zip(messages, index, strict=True):
+            yield SUMS, m[1], q, pack(_small(own[i]), _small(sent[i]), _small(tables[i]), *((_small(all_c[i]),) if sweep == 0 else ()))
+        yield TOTALS, -1, q, pack(np.array([sent.sum(), tables.sum()]))
 
     def draw(self, r: int, messages: list[tuple], sweep: int, totals: tuple[int, int], n_vocab: int) -> Iterator[tuple]:
-        """A range's part of a sweep. The state before it (`sweep` sweeps old) is whole now: it counts in the average, if it
-        is one of the last; then tables are drawn anew. After the last sweep the blocks get their answers instead."""
-        words, of, u, w, c = unpack(read_file(self.path, f"range-{r}"))
-        t, mean = unpack(read_file(self.path, f"tables-{r}-{sweep}"))
-        t, parts = t.astype(np.int64), [unpack(x) for _, _, x in messages]
-        own, sent, tables = (np.concatenate([p[i] for p in parts]).astype(np.int64) for i in range(3))
-        if sweep == 0:
-            all_c = np.concatenate([p[3] for p in parts]).astype(np.int64)
-            put_file(self.path, f"contexts-{r}", [pack(_small(all_c))])
-        else:
-            all_c = unpack(read_file(self.path, f"contexts-{r}"))[0].astype(np.int64)
-        if len(own) != len(words):
+        """A range's part of a sweep. The state before it, `sweep` sweeps old, is whole now, and kept if it is one of the last
+        that count; then tables are drawn anew. After the last sweep the blocks get their answers instead."""
+        words, u, w, c = unpack(read_file(self.path, f"range-{r}"))
+        u, w, c = np.cumsum(u.astype(np.int64)), w.astype(np.int64), c.astype(np.int64)
+        parts = [unpack(x) for _, _, x in messages]
+        by, _ = self._by_part(words)
+        sums = [np.concatenate([p[i] for p in parts]).astype(np.int64) for i in range(4 if sweep == 0 else 3)]
+        if any(len(x) != len(words) for x in sums):
             raise RuntimeError("a dictionary part's message is missing")
-        parent = parent_probability(sent, tables, *totals, n_vocab, self.d0, self.s0)
+        for x in sums:
+            x[by] = x.copy()
+        if sweep == 0:
+            put_file(self.path, f"contexts-{r}", [pack(_small(sums[3]))])
         if sweep > self.burn:
-            p = predict(c, t, all_c[u], own[u], parent[w], self.d1, self.s1)
-            mean = p if mean is None else mean + p
+            put_file(self.path, f"state-{r}-{sweep}", [pack(totals, *map(_small, sums[:3]))])
         if sweep == self.burn + self.samples:
-            log = np.log10(mean / self.samples).astype(np.float32)
+            log = self._answer(r, u, w, c, n_vocab)
             for block, kind in unpack(read_file(self.path, f"asked-{r}"))[0]:
-                yield PAIR_REPLY, block, r, pack(log[kind])
+                yield PAIR_REPLY, block, r, pack(log[np.cumsum(kind.astype(np.int64))])
             return
+        own, sent, tables = sums[:3]
+        parent = parent_probability(sent, tables, *totals, n_vocab, self.d0, self.s0)
+        t = unpack(read_file(self.path, f"tables-{r}-{sweep}"))[0].astype(np.int64)
         some = np.flatnonzero(c > 1)
         theta = self.s1 + self.d1 * (own[u[some]] - t[some])
         t[some] = draw_tables(c[some], t[some], theta, parent[w[some]], self.d1, self._salted(pair_hash(words[u[some]], words[w[some]])), sweep)
-        put_file(self.path, f"tables-{r}-{sweep + 1}", [pack(_small(t), mean)])
-        yield from self._tell(r, words, of, u, w, t)
+        put_file(self.path, f"tables-{r}-{sweep + 1}", [pack(_small(t))])
+        yield from self._tell(r, words, u, w, t)
+
+    def _answer(self, r: int, u, w, c, n_vocab: int) -> np.ndarray:
+        """log10 of the range's pairs' probabilities, averaged over the states that count."""
+        all_c = unpack(read_file(self.path, f"contexts-{r}"))[0].astype(np.int64)
+        total = np.zeros(len(c))
+        for sweep in range(self.burn + 1, self.burn + self.samples + 1):
+            totals, *sums = unpack(read_file(self.path, f"state-{r}-{sweep}"))
+            own, sent, tables = (x.astype(np.int64) for x in sums)
+            t = unpack(read_file(self.path, f"tables-{r}-{sweep}"))[0].astype(np.int64)
+            parent = parent_probability(sent, tables, *totals, n_vocab, self.d0, self.s0)
+            total += predict(c, t, all_c[u], own[u], parent[w], self.d1, self.s1)
+        return np.log10(total / self.samples).astype(np.float32)
 
     def score(self, block: int, messages: list[tuple], n_vocab: int, trained: int) -> pa.RecordBatch:
         b = Block(self.path, block, self.n)
+        numbers, seen = unpack(read_file(self.path, f"numbers-{block}"))
+        b.pair_up(numbers)
         log, times = np.empty(len(b.order)), np.zeros(len(b.vocab))
-        log[b.order] = np.concatenate([unpack(x)[0] for k, _, x in messages if k == PAIR_REPLY])
-        times[b.words] = np.concatenate([unpack(x)[0] for k, _, x in messages if k == WORD_REPLY])
+        log[b.order] = np.concatenate([unpack(x)[0] for _, _, x in messages])
+        times[b.words] = seen
         first = np.cumsum(b.n) - b.n
         base = np.log10((times + 1) / (trained + n_vocab + 1))
         add = lambda x: np.add.reduceat(x, first)
@@ -357,41 +410,36 @@ def score_corpus(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     n = max(1, -(-total // RANGE_TOKENS))
     task = Sampler(path, n, discount, strength, seed, burn, samples)
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _in_batches(row for batch in batches for block in batch.column("block").to_pylist() for row in task.from_block(block))
-
-    sent, sent_path = write_table(blocks.repartition(max(1, n_blocks), "block").mapInArrow(send, SENT), "lm-sent")
-    up, up_path = write_table(exchange(sent.where(F.col("kind") == PAIRS), n, task.gather), "lm-up")
-    words = sent.where(F.col("kind") == WORDS)
-    found, n_vocab, trained, totals = None, 0, 0, (0, 0)
+    def send_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _in_batches(row for batch in batches for block in batch.column("block").to_pylist() for row in task.words_of(block))
+
+    def sums(sent: DataFrame) -> tuple[int, int]:
+        """One row of two sums for each part or range."""
+        got = np.zeros(2, np.int64)
+        for row in sent.where(F.col("kind") == TOTALS).select("payload").toLocalIterator():
+            got += unpack(bytes(row.payload))[0]
+        return int(got[0]), int(got[1])
+
+    words = blocks.repartition(max(1, n_blocks), "block").mapInArrow(send_words, SENT)
+    told, told_path = write_table(exchange(words, n, task.number), "lm-numbers")
+    n_vocab, trained = sums(told)
+    # The pairs aren't written beside the shuffle that brings them to their ranges.
+    up, up_path = write_table(exchange(exchange(told, n_blocks, task.pairs_of, numbered=False), n, task.gather), "lm-up")
+    drop_path(spark, told_path)
+    totals = (0, 0)
     for sweep in range(burn + samples + 1):
-        arrived = up.unionByName(words) if sweep == 0 else up
-        before = None if sweep == 0 else (n_vocab, totals[1])
-        down, down_path = write_table(exchange(arrived, n, lambda q, m, k=sweep, b=before: task.add_up(q, m, k, b)), "lm-down")
-        sums = np.zeros(4, np.int64)
-        for row in down.where(F.col("kind") == TOTALS).select("payload").toLocalIterator():
-            sums += unpack(bytes(row.payload))[0]
-        totals = int(sums[0]), int(sums[1])
+        before = n_vocab, totals[1]
+        down, down_path = write_table(exchange(up, n, lambda q, m, k=sweep, b=before: task.add_up(q, m, k, b)), "lm-down")
+        totals = sums(down)
         drop_path(spark, up_path)
-        if sweep == 0:
-            n_vocab, trained = int(sums[2]), int(sums[3])
-            found = materialise(down.where(F.col("kind") == WORD_REPLY), "lm-word-replies")
-            drop_path(spark, sent_path)
-        up, up_path = write_table(exchange(down.where(F.col("kind") == SUMS), n, lambda r, m, k=sweep, a=totals: task.draw(r, m, k, a, n_vocab)), "lm-up")
-        drop_path(spark, down_path)
+        up = exchange(down, n, lambda r, m, k=sweep, a=totals: task.draw(r, m, k, a, n_vocab))
+        if sweep < burn + samples:
+            up, up_path = write_table(up, "lm-up")
+            drop_path(spark, down_path)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held = None, []
-        for batch in batches:
-            for k, to, src, x in zip(*(batch.column(c).to_pylist() for c in ("kind", "to", "src")), batch.column("payload"), strict=True):
-                if to != block:
-                    if held:
-                        yield task.score(block, held, n_vocab, trained)
-                    block, held = to, []
-                held.append((k, src, x.as_py()))
-        if held:
+        for block, held in _by_target(batches):
             yield task.score(block, held, n_vocab, trained)
 
-    answers = up.unionByName(found).repartition(max(1, n_blocks), "to").sortWithinPartitions("to", "kind", "src")
-    scored = answers.mapInArrow(score, "id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    scored = deliver(up, n_blocks, numbered=False).mapInArrow(score, "id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return scored.select(F.col("id").cast(kind).alias(id_col), *NAMES[1:], F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .places import field, located, unpacked, with_side, write_side
+from .places import field, located, marked, unpacked, with_side, write_side
 from .store import materialise
 from .words import U64, groups, mix, shingles, word_hashes
 
@@ -89,7 +89,7 @@ def document_frequencies(texts: DataFrame) -> Idf:
                 for row, cell in enumerate(_cells(s)):
                     np.add.at(table[row], cell, np.uint32(1))
                 n += len(raws)
-                if len(memo) > 500_000:
+                if len(memo) > 300_000:
                     memo.clear()
         if n:
             salt = TaskContext.get().partitionId() % salts
@@ -150,21 +150,21 @@ def sample(of: np.ndarray, s: np.ndarray, w: np.ndarray, n_docs: int) -> np.ndar
     return out
 
 
-def signatures(reps: DataFrame, idf) -> DataFrame:
-    """(id, sig binary) of `reps` (id, _text) that have words."""
+def signatures(texts: DataFrame, side: tuple[str, str], idf) -> DataFrame:
+    """(id, sig binary) of the texts (file, row, _text) that `side` gives an id and that have words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict = {}
-        for batch in batches:
+        for batch in marked(batches, side):
             for first, raws in groups(batch, "_text"):
                 of, s, count = _features(raws, memo)
-                if len(memo) > 500_000:
+                if len(memo) > 300_000:
                     memo.clear()
                 sig = sample(of, s, _weights(s, count, idf.value), len(raws))
                 has = np.unique(of)
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(first, len(raws)).take(pa.array(has)), pa.array([sig[i].tobytes() for i in has], pa.binary())], names=["id", "sig"])
+                yield pa.RecordBatch.from_arrays([batch.column("value").slice(first, len(raws)).take(pa.array(has)), pa.array([sig[i].tobytes() for i in has], pa.binary())], names=["id", "sig"])
 
-    return reps.select("id", "_text").mapInArrow(run, "id long, sig binary")
+    return texts.mapInArrow(run, "id long, sig binary")
 
 
 def buckets(sigs: DataFrame) -> DataFrame:
@@ -200,13 +200,17 @@ class Corpus:
         self.nodes = materialise(known.join(first, "code"), "neardup-nodes")
         self.first = self.nodes.where("nid = node").select("node", "copy_of")
 
-    def texts_of(self, ids: DataFrame | None, name: str) -> DataFrame:
-        """(id, _text) of the nodes `ids` (id), or of all: read where they lie."""
+    def side_of(self, ids: DataFrame | None, name: str) -> tuple[str, str]:
+        """The nodes `ids` (id), or all, beside the rows that stand for them."""
         own = self.nodes.where("nid = node").select("nid", "node")
         if ids is not None:
             own = own.join(ids.select(F.col("id").alias("node")), "node", "left_semi")
         marks = self.coded.select("file", "row", "nid").join(own, "nid", "left").select("file", "row", F.col("node").alias("value"))
-        return with_side(self.texts, write_side(marks, name)).select(F.col("value").alias("id"), "_text")
+        return write_side(marks, name)
+
+    def texts_of(self, ids: DataFrame, name: str) -> DataFrame:
+        """(id, _text) of the nodes `ids` (id): read where they lie."""
+        return with_side(self.texts, self.side_of(ids, name)).select(F.col("value").alias("id"), "_text")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
@@ -300,7 +304,7 @@ def classify(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> t
     """The corpus, and (nid, id, code, copy_of, class_id) of its rows with an id."""
     corpus = Corpus(docs, id_col, text_col)
     idf = docs.sparkSession.sparkContext.broadcast(document_frequencies(corpus.texts))
-    sigs = materialise(signatures(corpus.texts_of(None, "neardup-side"), idf), "neardup-sigs")
+    sigs = materialise(signatures(corpus.texts, corpus.side_of(None, "neardup-side"), idf), "neardup-sigs")
     bucketed = materialise(buckets(sigs).distinct(), "neardup-buckets")
     small = bucketed.where(F.col("n") <= SMALL).select("bucket", "id")
     pairs = small.alias("x").join(small.alias("y"), "bucket").where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()

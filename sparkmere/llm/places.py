@@ -89,29 +89,46 @@ def write_side(marks: DataFrame, name: str) -> tuple[str, str]:
     return path, kind
 
 
+class _Side:
+    """Looks places up in the files of `write_side`, one block's file at a time."""
+
+    def __init__(self, path: str):
+        self.path, self.have, self.rows, self.values = path, None, np.zeros(0, np.int64), None
+
+    def look(self, files: np.ndarray, rows: np.ndarray) -> pa.Array:
+        """The values of these places, null where there is none."""
+        out, blocks = [], rows >> BLOCK_BITS
+        cuts = (np.flatnonzero((files[1:] != files[:-1]) | (blocks[1:] != blocks[:-1])) + 1).tolist()
+        for a, b in zip([0, *cuts], [*cuts, len(files)], strict=True):
+            key = int(files[a]), int(blocks[a])
+            if key != self.have:
+                table = pa.ipc.open_file(read_file(self.path, _name(*key))).read_all().combine_chunks()
+                self.have, self.rows, self.values = key, table.column("row").to_numpy(), table.column("value")
+            want = np.searchsorted(self.rows, rows[a:b])
+            hit = np.append(self.rows, -1)[want] == rows[a:b]
+            out += self.values.take(pa.array(want, pa.int64(), mask=~hit)).chunks
+        return pa.concat_arrays(out)
+
+
 def with_side(rows: DataFrame, side: tuple[str, str]) -> DataFrame:
     """`rows` (located) that have a value in `side`, with it."""
     path, kind = side
 
     def look(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        have, at, values = None, np.zeros(0, np.int64), None
+        found = _Side(path)
         for files, numbers in batches:
-            f, r = (x.to_numpy(zero_copy_only=False) for x in (files, numbers))
-            out = []
-            cuts = np.flatnonzero((np.diff(f) != 0) | (np.diff(r >> BLOCK_BITS) != 0)) + 1
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(f)], strict=True):
-                if a == b:
-                    continue
-                key = int(f[a]), int(r[a] >> BLOCK_BITS)
-                if key != have:
-                    table = pa.ipc.open_file(read_file(path, _name(*key))).read_all().combine_chunks()
-                    have, at, values = key, table.column("row").to_numpy(), table.column("value")
-                want = np.searchsorted(at, r[a:b])
-                hit = np.append(at, -1)[want] == r[a:b]
-                out.append(values.take(pa.array(want, pa.int64(), mask=~hit)))
-            flat = [c for x in out for c in x.chunks]
-            yield pa.concat_arrays(flat) if flat else pa.nulls(len(f), values.type if values is not None else pa.null())
+            yield found.look(files.to_numpy(zero_copy_only=False), numbers.to_numpy(zero_copy_only=False)) if len(files) else files
 
     # Not deterministic for the optimizer, so that it is worked out once a row.
     value = F.arrow_udf(look, kind).asNondeterministic()
     return rows.withColumn("value", value("file", "row")).where("value IS NOT NULL")
+
+
+def marked(batches: Iterator[pa.RecordBatch], side: tuple[str, str]) -> Iterator[pa.RecordBatch]:
+    """`with_side` inside a task that takes the rows (file, row, ...) in Arrow anyway: the rows that have a value, with it."""
+    found = _Side(side[0])
+    for batch in batches:
+        if len(batch):
+            value = found.look(batch.column("file").to_numpy(), batch.column("row").to_numpy())
+            keep = value.is_valid()
+            yield pa.RecordBatch.from_arrays([*batch.columns, value], names=[*batch.schema.names, "value"]).filter(keep)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .places import field, located, with_side, write_side
+from .places import field, located, marked, write_side
 from .store import materialise, maybe_broadcast
 from .words import U64, groups, mix, window_hashes, word_hashes
 
@@ -73,10 +73,10 @@ def _emit(keys: list, more: list, owners: list, places: list) -> pa.RecordBatch:
 _ROWS = "key long, key2 long, doc long, node long, pos int"
 
 
-def _read(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[list[tuple[np.ndarray, np.ndarray]]]:
-    """Groups of (word hashes, side value) of the texts of `least` words or more."""
+def _read(batches: Iterator[pa.RecordBatch], side: tuple[str, str], least: int) -> Iterator[list[tuple[np.ndarray, np.ndarray]]]:
+    """Groups of (word hashes, side value) of the texts of `least` words or more that have a value."""
     memo: dict = {}
-    for batch in batches:
+    for batch in marked(batches, side):
         for first, raws in groups(batch, "_text"):
             h, n = word_hashes(raws, memo)
             if len(memo) > 500_000:
@@ -87,11 +87,11 @@ def _read(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[list[tuple[
             yield [(h[ends[i] - n[i] : ends[i]], flat[at[i] : at[i + 1]]) for i in np.flatnonzero(n >= least)]
 
 
-def suffixes(texts: DataFrame) -> DataFrame:
-    """Retained suffixes (key, key2 = 0, doc, node, pos) of `texts` (_text, value = [doc, node])."""
+def suffixes(texts: DataFrame, side: tuple[str, str]) -> DataFrame:
+    """Retained suffixes (key, key2 = 0, doc, node, pos) of the texts (file, row, _text) whose value in `side` is [doc, node]."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in _read(batches, MIN_WORDS):
+        for found in _read(batches, side, MIN_WORDS):
             keys, owners, places = [], [], []
             for h, own in found:
                 k = window_hashes(h, LEAD)
@@ -102,15 +102,15 @@ def suffixes(texts: DataFrame) -> DataFrame:
             if keys:
                 yield _emit(keys, [np.zeros(len(k), U64) for k in keys], owners, places)
 
-    return texts.select("_text", "value").mapInArrow(run, _ROWS)
+    return texts.mapInArrow(run, _ROWS)
 
 
-def extensions(texts: DataFrame) -> DataFrame:
-    """The suffixes (key and key2 of their first 50 words, doc, node, pos) around the shared ones of `texts` (_text, value =
-    [doc, node, positions ...])."""
+def extensions(texts: DataFrame, side: tuple[str, str]) -> DataFrame:
+    """The suffixes (key and key2 of their first 50 words, doc, node, pos) around the shared ones of the texts (file, row,
+    _text) whose value in `side` is [doc, node, positions ...]."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in _read(batches, MIN_WORDS):
+        for found in _read(batches, side, MIN_WORDS):
             keys, more, owners, places = [], [], [], []
             for h, own in found:
                 last = len(h) - MIN_WORDS + 1
@@ -125,7 +125,7 @@ def extensions(texts: DataFrame) -> DataFrame:
             if keys:
                 yield _emit(keys, more, owners, places)
 
-    return texts.select("_text", "value").mapInArrow(run, _ROWS)
+    return texts.mapInArrow(run, _ROWS)
 
 
 SHARED, OPEN, EDGE = range(3)
@@ -236,13 +236,13 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     single = materialise(single.join(docs_of, "lo").select("node", "doc", F.col("lo").alias("id")), "repeats-single")
     own = single.select("node", "doc").unionByName(copied.select("node", F.col("node").alias("doc")))
 
-    def read(marks: DataFrame, name: str) -> DataFrame:
-        return with_side(texts, write_side(coded.select("file", "row", F.col("nid").alias("node")).join(marks, "node", "left").select("file", "row", "value"), name))
+    def side(marks: DataFrame, name: str) -> tuple[str, str]:
+        return write_side(coded.select("file", "row", F.col("nid").alias("node")).join(marks, "node", "left").select("file", "row", "value"), name)
 
-    found = materialise(suffixes(read(own.select("node", F.array("doc", "node").alias("value")), "repeats-side")), "repeats-suffixes")
+    found = materialise(suffixes(texts, side(own.select("node", F.array("doc", "node").alias("value")), "repeats-side")), "repeats-suffixes")
     starts = shared_suffixes(found, "repeats-neighbours").groupBy("doc", "node").agg(F.collect_set("pos").alias("p"))
     starts = starts.select("node", F.concat(F.array("doc", "node"), F.transform("p", lambda x: x.cast("long"))).alias("value"))
-    wins = materialise(extensions(read(starts, "repeats-starts")), "repeats-extensions")
+    wins = materialise(extensions(texts, side(starts, "repeats-starts")), "repeats-extensions")
     hits = shared_suffixes(wins, "repeats-windows")
     w = hits.groupBy("node").agg(F.array_sort(F.collect_set("pos")).alias("p"))
     gap = F.filter(F.sequence(F.lit(0), F.size("p") - 1), lambda i: (i == 0) | (F.get("p", i) - F.get("p", i - 1) > MIN_WORDS))
