@@ -44,12 +44,29 @@ NO_WORD = 1 << 40
 _END, _START = b" end ", b" start "
 
 
+def _planes(x):
+    """Arrays by planes of bytes: the high bytes of numbers, mostly alike, lie together and take little room."""
+    if isinstance(x, np.ndarray) and x.ndim == 1 and x.itemsize > 1:
+        return _PLANES, x.dtype.str, np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+    return type(x)(map(_planes, x)) if isinstance(x, (list, tuple)) and any(isinstance(y, (np.ndarray, tuple)) for y in x) else x
+
+
+def _joined(x):
+    if isinstance(x, tuple) and len(x) == 3 and isinstance(x[0], str) and x[0] == _PLANES:
+        kind = np.dtype(x[1])
+        return np.ascontiguousarray(np.frombuffer(x[2], np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
+    return type(x)(map(_joined, x)) if isinstance(x, (list, tuple)) and any(isinstance(y, tuple) for y in x) else x
+
+
+_PLANES = "planes"
+
+
 def pack(*arrays) -> bytes:
-    return zstandard.compress(pickle.dumps(arrays, protocol=5), 1)
+    return zstandard.compress(pickle.dumps(_planes(arrays), protocol=5), 1)
 
 
 def unpack(raw: bytes) -> tuple:
-    return pickle.loads(zstandard.decompress(raw))
+    return _joined(pickle.loads(zstandard.decompress(raw)))
 
 
 def _small(x: np.ndarray) -> np.ndarray:
@@ -228,6 +245,10 @@ class Sampler:
         self.path, self.n, self.seed, self.burn, self.samples = path, n, seed, burn, samples
         (self.d0, self.d1), (self.s0, self.s1) = discount, strength
 
+    def _of(self, sweep: int) -> str:
+        """The folder of the state after so many sweeps."""
+        return f"{self.path}/sweep-{sweep}"
+
     def _salted(self, h: np.ndarray) -> np.ndarray:
         return mix(h ^ U64((self.seed * 0x9E3779B97F4A7C15) & (2**64 - 1)))
 
@@ -278,7 +299,7 @@ class Sampler:
         put_file(self.path, f"range-{r}", [pack(words, _steps(u), _small(w), _small(c))])
         put_file(self.path, f"asked-{r}", [pack(asked)])
         start = (c > 0).astype(np.int64)
-        put_file(self.path, f"tables-{r}-0", [pack(_small(start))])
+        put_file(self._of(0), f"tables-{r}", [pack(_small(start))])
         yield from self._tell(r, words, u, w, start, c)
 
     def _by_part(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -324,10 +345,10 @@ class Sampler:
             # The words' tables in the parent, given the other words'. The base is uniform.
             n_vocab, total = before
             live = np.flatnonzero(sent)
-            last = np.clip(unpack(read_file(self.path, f"words-{q}-{sweep - 1}"))[0][live], 1, sent[live]).astype(np.int64)
+            last = np.clip(unpack(read_file(self._of(sweep - 1), f"words-{q}"))[0][live], 1, sent[live]).astype(np.int64)
             theta = self.s0 + self.d0 * np.maximum(total - last, 0)
             tables[live] = draw_tables(sent[live], last, theta, np.full(len(live), 1 / (n_vocab + 1)), self.d0, self._salted(mix(words[live].astype(U64) + U64(1))), sweep - 1)
-        put_file(self.path, f"words-{q}-{sweep}", [pack(_small(tables))])
+        put_file(self._of(sweep), f"words-{q}", [pack(_small(tables))])
         for m, i in zip(messages, index, strict=True):
             yield SUMS, m[1], q, pack(_small(own[i]), _small(sent[i]), _small(tables[i]), *((_small(all_c[i]),) if sweep == 0 else ()))
         yield TOTALS, -1, q, pack(np.array([sent.sum(), tables.sum()]))
@@ -347,7 +368,7 @@ class Sampler:
         if sweep == 0:
             put_file(self.path, f"contexts-{r}", [pack(_small(sums[3]))])
         if sweep > self.burn:
-            put_file(self.path, f"state-{r}-{sweep}", [pack(totals, *map(_small, sums[:3]))])
+            put_file(self._of(sweep), f"state-{r}", [pack(totals, *map(_small, sums[:3]))])
         if sweep == self.burn + self.samples:
             log = self._answer(r, u, w, c, n_vocab)
             for block, kind in unpack(read_file(self.path, f"asked-{r}"))[0]:
@@ -355,11 +376,11 @@ class Sampler:
             return
         own, sent, tables = sums[:3]
         parent = parent_probability(sent, tables, *totals, n_vocab, self.d0, self.s0)
-        t = unpack(read_file(self.path, f"tables-{r}-{sweep}"))[0].astype(np.int64)
+        t = unpack(read_file(self._of(sweep), f"tables-{r}"))[0].astype(np.int64)
         some = np.flatnonzero(c > 1)
         theta = self.s1 + self.d1 * (own[u[some]] - t[some])
         t[some] = draw_tables(c[some], t[some], theta, parent[w[some]], self.d1, self._salted(pair_hash(words[u[some]], words[w[some]])), sweep)
-        put_file(self.path, f"tables-{r}-{sweep + 1}", [pack(_small(t))])
+        put_file(self._of(sweep + 1), f"tables-{r}", [pack(_small(t))])
         yield from self._tell(r, words, u, w, t)
 
     def _answer(self, r: int, u, w, c, n_vocab: int) -> np.ndarray:
@@ -367,9 +388,9 @@ class Sampler:
         all_c = unpack(read_file(self.path, f"contexts-{r}"))[0].astype(np.int64)
         total = np.zeros(len(c))
         for sweep in range(self.burn + 1, self.burn + self.samples + 1):
-            totals, *sums = unpack(read_file(self.path, f"state-{r}-{sweep}"))
+            totals, *sums = unpack(read_file(self._of(sweep), f"state-{r}"))
             own, sent, tables = (x.astype(np.int64) for x in sums)
-            t = unpack(read_file(self.path, f"tables-{r}-{sweep}"))[0].astype(np.int64)
+            t = unpack(read_file(self._of(sweep), f"tables-{r}"))[0].astype(np.int64)
             parent = parent_probability(sent, tables, *totals, n_vocab, self.d0, self.s0)
             total += predict(c, t, all_c[u], own[u], parent[w], self.d1, self.s1)
         return np.log10(total / self.samples).astype(np.float32)
@@ -436,6 +457,8 @@ def score_corpus(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         if sweep < burn + samples:
             up, up_path = write_table(up, "lm-up")
             drop_path(spark, down_path)
+            if 0 < sweep <= burn:
+                drop_path(spark, task._of(sweep - 1))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, held in _by_target(batches):
