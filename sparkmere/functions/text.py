@@ -32,8 +32,8 @@ def shingles(words: Column, n: int = 5) -> Column:
 
 
 def shingle_hashes(words: Column, n: int = 5) -> Column:
-    """64-bit hashes of the different n-grams, sorted."""
-    return F.array_sort(_grams(words, n, lambda x: F.xxhash64(x)))
+    """64-bit hashes of the different n-grams."""
+    return _grams(words, n, lambda x: F.xxhash64(x))
 
 
 def norm_title(title: Column) -> Column:
@@ -81,11 +81,6 @@ def json_list(reply: Column) -> Column:
     return F.when(found != "", found)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
-
-
 def seeded_order(seed: int, key: Column) -> Column:
     """A reproducible shuffle: sort by this, then by the key."""
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary"))

@@ -21,13 +21,15 @@ def _unit(rows: np.ndarray) -> np.ndarray:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.array(column.to_pylist(), dtype=np.float64)
+    """Vectors of one length, from their flat values."""
+    chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    return np.concatenate([c.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(c), -1) for c in chunks if len(c)])
 
 
 def dense_topk(queries: DataFrame, passages: DataFrame, top_k: int = 100) -> DataFrame:
     """(qid, doc_id, score, rank) by cosine (rounded to 9 places), then id, from (qid, vec) and (doc_id, vec).
 
-    Exact. Passages stream past each block of queries; a batch sends on only its best `top_k` for each query, so what is
+    Exact. Passages stream past each block of queries; a batch sends on only what reaches its `top_k` for each query, so what is
     shuffled doesn't grow with the passages' vectors. Vectors that are null are left out, zero vectors score 0.
     """
     q = queries.where("vec IS NOT NULL").select("qid", "vec").toArrow()
@@ -43,10 +45,11 @@ def dense_topk(queries: DataFrame, passages: DataFrame, top_k: int = 100) -> Dat
                 if not len(batch):
                     continue
                 score = np.round(matrix @ _unit(_matrix(batch.column("vec"))).T, 9)
-                order = np.argsort(np.array(batch.column("doc_id").to_pylist()), kind="stable")
-                best = order[np.argsort(-score[:, order], axis=1, kind="stable")[:, :top_k]]
-                k = best.shape[1]
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.repeat(np.arange(len(ids)), k))), batch.column("doc_id").take(pa.array(best.ravel())), pa.array(np.take_along_axis(score, best, 1).ravel())], names=["qid", "doc_id", "score"])
+                # All that reach a query's k-th score, ties too; ranks are given in the end.
+                k = min(top_k, score.shape[1])
+                least = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k]
+                q_at, p_at = np.nonzero(score >= least[:, None])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(q_at)), batch.column("doc_id").take(pa.array(p_at)), pa.array(score[q_at, p_at])], names=["qid", "doc_id", "score"])
 
         kinds = dict(queries.dtypes)["qid"], dict(passages.dtypes)["doc_id"]
         got = passages.where("vec IS NOT NULL").select("doc_id", "vec").mapInArrow(search, f"qid {kinds[0]}, doc_id {kinds[1]}, score double")

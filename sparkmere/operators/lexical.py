@@ -51,18 +51,26 @@ def idf_table(docs: DataFrame, analyzer: Analyzer = tokens, stems: DataFrame | N
 def bm25_topk(queries: DataFrame, docs: DataFrame, top_k: int = 50, analyzer: Analyzer = tokens, stems: DataFrame | None = None, k1: float = K1, b: float = B) -> DataFrame:
     """(qid, doc_id, score, rank): each query's best documents by score (rounded to 9 places), then id; rank from 1.
 
-    A term counts once a query. Only documents that share a term are scored, and only the queries' terms are counted.
+    A term counts once a query. Only documents that share a term are scored, and only the queries' terms are counted: a
+    document's tokens meet the words that stand for those terms as they are made, with its length. Texts are tokenised twice,
+    for that and for the two corpus figures.
     """
     asked = term_counts(queries.select(F.col("qid").alias("doc_id"), F.col("query").alias("text")), None, analyzer, stems).select(F.col("doc_id").alias("qid"), "term")
-    tf = term_counts(docs, asked, analyzer, stems)
+    words = asked.select("term").distinct()
+    forms = words.select(F.col("term").alias("word"), "term")
+    if stems is not None:
+        # A term is met as any word whose stem it is, and as itself unless it has a stem of its own.
+        known = stems.where(~is_trivial(F.col("word"))).select("word", F.col("stem").alias("term"))
+        forms = known.join(words, "term", "left_semi").select("word", "term").unionByName(forms.join(known.select("word"), "word", "left_anti"))
+    rows = docs.select("doc_id", analyzer(F.col("text")).alias("_t")).select("doc_id", F.size("_t").cast("long").alias("dl"), F.explode("_t").alias("word"))
+    tf = rows.join(forms, "word").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
     stats = doc_stats(docs, analyzer)
     n, avgdl = stats.select("n_docs").scalar(), stats.select("avgdl").scalar()
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     weights = df.select("term", idf(F.col("df"), n).alias("idf"))
     f, dl = F.col("tf").cast("double"), F.col("dl").cast("double")
     part = F.col("idf") * (f * F.lit(k1 + 1)) / (f + F.lit(float(k1)) * (F.lit(1.0 - b) + F.lit(float(b)) * dl / avgdl))
-    rows = tf.join(doc_lengths(docs, analyzer), "doc_id").join(weights, "term").select("doc_id", "term", part.alias("part"))
-    scored = rows.join(asked, "term").groupBy("qid", "doc_id").agg(F.round(F.sum("part"), 9).alias("score"))
+    scored = tf.join(weights, "term").select("doc_id", "term", part.alias("part")).join(asked, "term").groupBy("qid", "doc_id").agg(F.round(F.sum("part"), 9).alias("score"))
     return top(scored, top_k)
 
 

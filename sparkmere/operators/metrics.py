@@ -42,7 +42,8 @@ def paired_bootstrap(a: DataFrame, b: DataFrame, categories: DataFrame, metric:
 
     delta is the mean of b - a. p_value is the share of resamples (queries drawn with replacement) whose mean difference is
     not on the side of the observed one: <= 0 if delta >= 0, else >= 0; alternative "greater" always takes <= 0, "less" >= 0.
-    The resamples are rows, generated where they are used: no loop, and nothing but the queries' differences is joined.
+    The resamples are rows of a range, dealt over tasks, each with the few scopes; nothing but the queries' differences is
+    joined.
     """
     from pyspark.sql import Window
 
@@ -51,7 +52,8 @@ def paired_bootstrap(a: DataFrame, b: DataFrame, categories: DataFrame, metric:
     scoped = d.select(F.explode(F.array(F.lit("ALL"), F.coalesce("category", F.lit("?")))).alias("scope"), "qid", "d")
     scoped = scoped.withColumn("i", F.row_number().over(Window.partitionBy("scope").orderBy("qid")) - 1)
     sums = scoped.groupBy("scope").agg(F.count("*").alias("n"), F.avg("d").alias("delta"))
-    draws = sums.select("scope", "n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b"))
+    numbers = d.sparkSession.range(resamples).select(F.col("id").cast("int").alias("b"))
+    draws = numbers.crossJoin(F.broadcast(sums.select("scope", "n")))
     draws = draws.select("scope", "n", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j"))
     draws = draws.select("scope", "b", resample_index(F.col("b"), F.col("j"), F.col("n")).alias("i"))
     means = draws.join(scoped.select("scope", "i", "d"), ["scope", "i"]).groupBy("scope", "b").agg(F.round(F.avg("d"), 12).alias("m"))

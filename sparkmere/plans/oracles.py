@@ -55,35 +55,28 @@ def _bm25(queries: str, corpus: str, k: int, stem: bool = False, prefix: str = "
 MINED = f"""{CORPUS}, {QUESTIONS},
 pos AS (SELECT * FROM corpus WHERE doc_id IN (SELECT positive_id FROM questions)),
 pool AS (SELECT * FROM pos UNION ALL SELECT * FROM (SELECT * FROM corpus WHERE split_part(doc_id, '_', 1) NOT IN ('src3', 'src4') AND doc_id NOT IN (SELECT doc_id FROM pos) ORDER BY md5('13:' || doc_id), doc_id LIMIT (SELECT greatest(0, POOL - count(*)) FROM pos)))"""
-MINED500 = MINED.replace("POOL", "500") + ",\nqq AS (SELECT pair_id AS qid, query FROM questions),\n" + _bm25("qq", "pool", 50) + """,
+MINED_ALL = MINED.replace("POOL", "80000") + ",\nqq AS (SELECT pair_id AS qid, query FROM questions),\n" + _bm25("qq", "pool", 50) + """,
 mined AS (SELECT pair_id, negative_id, rank, pos FROM (SELECT q.pair_id, r.doc_id AS negative_id, r.rank - 1 AS rank, row_number() OVER (PARTITION BY q.pair_id ORDER BY r.rank) AS pos
   FROM ranked r JOIN questions q ON q.pair_id = r.qid WHERE r.rank > 2 AND r.doc_id <> q.positive_id AND split_part(r.doc_id, '_', 1) <> split_part(q.positive_id, '_', 1)) WHERE pos <= 4)"""
 
-_HAVE = "(SELECT * FROM corpus WHERE doc_id IN (SELECT doc_id FROM have))"
-#: CRC-32 has no function in DuckDB: bit by bit over the id's bytes.
-HAVE = """crc AS (WITH RECURSIVE r(doc_id, i, c) AS (SELECT doc_id, 0, 4294967295::BIGINT FROM corpus UNION ALL
-  SELECT doc_id, i + 1, list_reduce([xor(c, ascii(doc_id[i + 1])), 1, 2, 3, 4, 5, 6, 7, 8], lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END) FROM r WHERE i < length(doc_id))
-  SELECT doc_id, xor(c, 4294967295::BIGINT) AS crc FROM r WHERE i = length(doc_id)),
-have AS (SELECT doc_id FROM crc WHERE crc % 5 <> 0)"""
-TRAIN = f"""{MINED500}, {TOPICS}, {QRELS},
-{HAVE},
+TRAIN = f"""{MINED_ALL}, {TOPICS}, {QRELS},
 {PAIRS.split(QRELS + ',', 1)[1].strip()},
-made AS (SELECT q.pair_id, q.query, c.text AS positive, q.category, coalesce(n.negatives, []) AS negatives FROM questions q JOIN {_HAVE} c ON c.doc_id = q.positive_id AND c.text <> ''
-  LEFT JOIN (SELECT m.pair_id, list(h.text ORDER BY m.pos) AS negatives FROM mined m JOIN {_HAVE} h ON h.doc_id = m.negative_id WHERE h.text <> '' GROUP BY m.pair_id) n ON n.pair_id = q.pair_id),
+made AS (SELECT q.pair_id, q.query, c.text AS positive, q.category, coalesce(n.negatives, []) AS negatives FROM questions q JOIN corpus c ON c.doc_id = q.positive_id AND c.text <> ''
+  LEFT JOIN (SELECT m.pair_id, list(h.text ORDER BY m.pos) AS negatives FROM mined m JOIN corpus h ON h.doc_id = m.negative_id WHERE h.text <> '' GROUP BY m.pair_id) n ON n.pair_id = q.pair_id),
 train AS (SELECT pair_id, query, positive, negatives, category FROM made UNION ALL SELECT 'g' || positive_id, query, positive, negatives, NULL FROM gold),
 ex AS (SELECT *, list_filter(negatives, lambda x: x <> '') AS ok FROM train WHERE query <> '' AND positive <> '')"""
 
 
 def _dense(name: str, dims: int) -> str:
     return f"""{name} AS (SELECT qid, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM
-  (SELECT q.vec_id AS qid, p.vec_id AS doc_id, round(list_cosine_similarity(CAST(q.embedding[1:{dims}] AS DOUBLE[]), CAST(p.embedding[1:{dims}] AS DOUBLE[])), 9) AS score FROM embeddings q, embeddings p WHERE q.vec_id < 30 AND p.vec_id >= 30)) WHERE rank <= 100)"""
+  (SELECT q.vec_id AS qid, p.vec_id AS doc_id, round(list_cosine_similarity(CAST(q.embedding[1:{dims}] AS DOUBLE[]), CAST(p.embedding[1:{dims}] AS DOUBLE[])), 9) AS score FROM embeddings q, embeddings p WHERE q.vec_id % 100 = 0)) WHERE rank <= 100)"""
 
 
 RUNS = f"""{_dense('full_', 64)}, {_dense('short_', 16)}, {_dense('tiny_', 8)},
 both_ AS (SELECT coalesce(a.qid, b.qid) AS qid, coalesce(a.doc_id, b.doc_id) AS doc_id, a.rank AS ra, b.rank AS rb, coalesce(1 / (60.0::DOUBLE + a.rank), 0) + coalesce(1 / (60.0::DOUBLE + b.rank), 0) AS score FROM full_ a FULL JOIN short_ b ON a.qid = b.qid AND a.doc_id = b.doc_id),
 fused_ AS (SELECT qid, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, ra NULLS LAST, rb NULLS LAST, doc_id) AS rank FROM both_) WHERE rank <= 10),
-rel AS (SELECT q.vec_id AS qid, p.vec_id AS doc_id FROM embeddings q JOIN embeddings p USING (label) WHERE q.vec_id < 30 AND p.vec_id >= 30),
-cats AS (SELECT vec_id AS qid, ['natural', 'inflected', 'vocab_gap'][vec_id % 3 + 1] AS category FROM embeddings WHERE vec_id < 30),
+rel AS (SELECT q.vec_id AS qid, p.vec_id AS doc_id FROM embeddings q JOIN embeddings p USING (label) WHERE q.vec_id % 100 = 0),
+cats AS (SELECT vec_id AS qid, ['natural', 'inflected', 'vocab_gap'][vec_id % 3 + 1] AS category FROM embeddings WHERE vec_id % 100 = 0),
 sizes AS (SELECT qid, count(*) AS n_rel FROM rel GROUP BY qid),
 runs AS (SELECT 'full' AS system, qid, doc_id, rank FROM full_ UNION ALL SELECT 'short', qid, doc_id, rank FROM short_ UNION ALL SELECT 'tiny', qid, doc_id, rank FROM tiny_ UNION ALL SELECT 'fused', qid, doc_id, rank FROM fused_),
 per AS (SELECT s.system, z.qid, coalesce(sum(1 / log2(r.rank + 1)) / (SELECT sum(1 / log2(i + 1)) FROM range(1, least(10, any_value(z.n_rel)) + 1) t(i)), 0) AS ndcg, coalesce(1.0::DOUBLE / min(r.rank), 0) AS rr, count(r.rank)::DOUBLE / any_value(z.n_rel) AS recall
@@ -93,13 +86,13 @@ BOOT = f"""{RUNS},
 d0 AS (SELECT a.qid, b.ndcg - a.ndcg AS d FROM per a JOIN per b USING (qid) WHERE a.system = 'short' AND b.system = 'full'),
 d AS (SELECT scope, qid, d, row_number() OVER (PARTITION BY scope ORDER BY qid) - 1 AS i FROM (SELECT unnest(['ALL', category]) AS scope, qid, d FROM d0 JOIN cats USING (qid))),
 sm AS (SELECT scope, count(*) AS n, avg(d) AS delta FROM d GROUP BY scope),
-dr AS (SELECT scope, b, CAST('0x' || substr(md5(b || ':' || j), 1, 8) AS BIGINT) % n AS i FROM (SELECT scope, n, b, unnest(range(n)) AS j FROM (SELECT scope, n, unnest(range(200)) AS b FROM sm))),
+dr AS (SELECT scope, b, CAST('0x' || substr(md5(b || ':' || j), 1, 8) AS BIGINT) % n AS i FROM (SELECT scope, n, b, unnest(range(n)) AS j FROM (SELECT scope, n, unnest(range(10000)) AS b FROM sm))),
 mn AS (SELECT scope, b, round(avg(d), 12) AS m FROM dr JOIN d USING (scope, i) GROUP BY scope, b),
 tl AS (SELECT scope, avg((m <= 0)::INT) AS low, avg((m >= 0)::INT) AS high FROM mn GROUP BY scope)"""
 
 SYNTH = f"""{CORPUS},
 sp AS (SELECT doc_id, text, row_number() OVER (ORDER BY md5('13:' || doc_id), doc_id) - 1 AS rn FROM corpus WHERE length(text) >= 200 AND split_part(doc_id, '_', 1) NOT IN ('src3', 'src4')),
-ba AS (SELECT rn // 5 AS batch_id, rn % 5 AS j, doc_id, text FROM sp WHERE rn < 100)"""
+ba AS (SELECT rn // 5 AS batch_id, rn % 5 AS j, doc_id, text FROM sp WHERE rn < 14000)"""
 
 ORACLE_SQL = {
     "tokenize_docs": f"SELECT doc_id, len({TOK('text')}) AS n_tokens, len(list_distinct({TOK('text')})) AS n_distinct FROM documents",
@@ -130,8 +123,8 @@ SELECT count(*) AS queries, count(*) FILTER (NOT asked) AS missing_query,
 CASE doc_id % 6 WHEN 2 THEN true WHEN 4 THEN false ELSE quality > 0 END AS positive FROM labels WHERE doc_id % 6 NOT IN (3, 5)""",
     "loader_lines": r"""WITH t AS (SELECT CAST(conv_id % 40 AS VARCHAR) AS doc_id, 'h' || turn AS title, regexp_replace(text, '[\t\n\"\\]', ' ', 'g') AS text, CASE WHEN conv_id % 2 = 0 THEN 0 ELSE 1 END AS f, conv_id * 100 + turn AS o FROM conversations WHERE conv_id % 5 <> 4)
 SELECT doc_id, max_by(title, (f, o)) AS title, max_by(text, (f, o)) AS text FROM t GROUP BY doc_id""",
-    "candidate_pool": f"WITH {MINED.replace('POOL', '300')} SELECT doc_id FROM pool",
-    "resume_filter": f"WITH {CORPUS} SELECT doc_id FROM corpus WHERE length(text) >= 200 AND split_part(doc_id, '_', 1) NOT IN ('src3', 'src4') AND length(text) % 2 = 1 ORDER BY md5('13:' || doc_id), doc_id LIMIT 200",
+    "candidate_pool": f"WITH {MINED.replace('POOL', '80000')} SELECT doc_id FROM pool",
+    "resume_filter": f"WITH {CORPUS} SELECT doc_id FROM corpus WHERE length(text) >= 200 AND split_part(doc_id, '_', 1) NOT IN ('src3', 'src4') AND length(text) % 2 = 1 ORDER BY md5('13:' || doc_id), doc_id LIMIT 14000",
     "prompt_batches": f"WITH {SYNTH} SELECT batch_id, count(*) AS n, md5(string_agg('[' || j || '] ' || text, chr(10) ORDER BY j)) AS prompt_md5 FROM ba GROUP BY batch_id",
     "synth_unpivot": f"""WITH {SYNTH}, k AS (SELECT doc_id, batch_id, batch_id || 'x' || j AS key FROM ba WHERE batch_id % 7 <> 6 AND j < 4),
 q AS (SELECT doc_id, 'natural' AS category, 'What is ' || key || '?' AS query FROM k UNION ALL SELECT doc_id, 'vocab_gap', CASE WHEN batch_id % 3 = 0 THEN 'abc' ELSE 'Say of ' || key END FROM k UNION ALL SELECT doc_id, 'inflected', 'On ' || key || '?!' FROM k)
@@ -141,8 +134,8 @@ SELECT doc_id AS passage_id, category, query FROM q WHERE length(query) >= 5""",
     "idf_table": f"SELECT term, df, round(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 6) AS idf FROM (SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({TOK('text')}) AS term FROM documents) GROUP BY term), (SELECT count(*) AS n FROM documents)",
     "bm25_topk": f"WITH {CORPUS}, {TOPICS}, {_bm25('topics', 'corpus', 10)} SELECT qid, rank, doc_id, round(score, 6) AS score FROM ranked",
     "bm25_stemmed_topk": f"WITH {CORPUS}, {TOPICS}, {_bm25('topics', 'corpus', 10, True)} SELECT qid, rank, doc_id, round(score, 6) AS score FROM ranked",
-    "mine_negatives": f"WITH {MINED500} SELECT pair_id, negative_id, rank, pos FROM mined",
-    "mined_ids_artifact": f"""WITH {MINED500} SELECT length(q.query) AS q_chars, q.positive_id, coalesce(string_agg(m.negative_id, ',' ORDER BY m.pos), '') AS negative_ids, q.category FROM questions q LEFT JOIN mined m USING (pair_id) GROUP BY q.pair_id, q.query, q.positive_id, q.category""",
+    "mine_negatives": f"WITH {MINED_ALL} SELECT pair_id, negative_id, rank, pos FROM mined",
+    "mined_ids_artifact": f"""WITH {MINED_ALL} SELECT length(q.query) AS q_chars, q.positive_id, coalesce(string_agg(m.negative_id, ',' ORDER BY m.pos), '') AS negative_ids, q.category FROM questions q LEFT JOIN mined m USING (pair_id) GROUP BY q.pair_id, q.query, q.positive_id, q.category""",
     "assemble_train": f"WITH {TRAIN} SELECT pair_id, category, length(query) AS q_chars, length(positive) AS p_chars, len(negatives) AS n_neg, md5(array_to_string(negatives, '|')) AS neg_md5 FROM train",
     "triplets": f"WITH {TRAIN} SELECT pair_id, md5(positive) AS positive_md5, md5(n) AS negative_md5 FROM (SELECT pair_id, positive, unnest(ok[1:2]) AS n FROM ex)",
     "train_pairs": f"WITH {TRAIN} SELECT pair_id, length(query) AS a_chars, length(positive) AS p_chars FROM ex WHERE len(ok) = 0",
@@ -156,7 +149,7 @@ FROM per JOIN cats USING (qid) WHERE system = 'full' GROUP BY GROUPING SETS ((ca
     "paired_bootstrap": f"""WITH {BOOT} SELECT scope, n, round(delta, 6) AS delta, round(CASE WHEN delta >= 0 THEN low ELSE high END, 6) AS p_value, CASE WHEN delta >= 0 THEN low ELSE high END < 0.05 AS significant FROM sm JOIN tl USING (scope)""",
     "eval_table": f"""WITH {RUNS} SELECT CASE WHEN grouping(category) = 1 THEN 'ALL' ELSE category END AS scope, {', '.join(f"round(avg(ndcg) FILTER (system = '{x}'), 6) AS {x}" for x in ('full', 'short', 'tiny', 'fused'))}
 FROM per JOIN cats USING (qid) GROUP BY GROUPING SETS ((category), ())""",
-    "tier_counts": "SELECT ['natural', 'inflected', 'vocab_gap'][vec_id % 3 + 1] AS category, count(*) AS n FROM embeddings WHERE vec_id < 30 GROUP BY 1",
+    "tier_counts": "SELECT ['natural', 'inflected', 'vocab_gap'][vec_id % 3 + 1] AS category, count(*) AS n FROM embeddings WHERE vec_id % 100 = 0 GROUP BY 1",
     "model_ranking": """WITH t AS (SELECT event_type AS model, CASE WHEN event_type <> 'click' THEN round(sum(value), 4) END AS value FROM events GROUP BY event_type)
 SELECT model, value, row_number() OVER (ORDER BY value DESC NULLS LAST, model) AS place FROM t""",
 }

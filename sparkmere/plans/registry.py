@@ -103,17 +103,17 @@ def loader_lines(s: SparkSession, d: str) -> DataFrame:
 
 
 def candidate_pool(s: SparkSession, d: str) -> DataFrame:
-    return mining.candidate_pool(T.corpus(s, d), T.questions(s, d), T.exclusions(s, d), 300).select("doc_id")
+    return mining.candidate_pool(T.corpus(s, d), T.questions(s, d), T.exclusions(s, d)).select("doc_id")
 
 
 def resume_filter(s: SparkSession, d: str) -> DataFrame:
     done = T.corpus(s, d).where(F.length("text") % 2 == 0).select(F.col("doc_id").alias("passage_id"))
-    return synth.passage_pool(T.corpus(s, d), T.exclusions(s, d), done, 200).select("doc_id")
+    return synth.passage_pool(T.corpus(s, d), T.exclusions(s, d), done).select("doc_id")
 
 
 def _batches(s: SparkSession, d: str) -> DataFrame:
     none = T.corpus(s, d).where("false").select(F.col("doc_id").alias("passage_id"))
-    return synth.batches(synth.passage_pool(T.corpus(s, d), T.exclusions(s, d), none, 100))
+    return synth.batches(synth.passage_pool(T.corpus(s, d), T.exclusions(s, d), none))
 
 
 def prompt_batches(s: SparkSession, d: str) -> DataFrame:
@@ -155,7 +155,7 @@ def bm25_stemmed_topk(s: SparkSession, d: str) -> DataFrame:
 
 
 def _mined(s: SparkSession, d: str) -> DataFrame:
-    pool = mining.candidate_pool(T.corpus(s, d), T.questions(s, d), T.exclusions(s, d), 500)
+    pool = mining.candidate_pool(T.corpus(s, d), T.questions(s, d), T.exclusions(s, d))
     return mining.mine_negatives(T.questions(s, d), pool)
 
 
@@ -170,8 +170,7 @@ def mined_ids_artifact(s: SparkSession, d: str) -> DataFrame:
 
 def _train(s: SparkSession, d: str) -> DataFrame:
     ids = mining.with_negatives(T.questions(s, d), _mined(s, d))
-    have = T.corpus(s, d).where(F.crc32(F.col("doc_id").cast("binary")) % 5 != 0)
-    made = assemble.expand_ids(ids, have).select("pair_id", "query", "positive", "negatives", "category")
+    made = assemble.expand_ids(ids, T.corpus(s, d)).select("pair_id", "query", "positive", "negatives", "category")
     gold = pairs.build_pairs(T.corpus(s, d), T.topics(s, d), T.qrels(s, d)).select(F.concat(F.lit("g"), "positive_id").alias("pair_id"), "query", "positive", "negatives")
     return assemble.union_training(made, gold)
 
@@ -216,7 +215,7 @@ def ndcg_mrr_recall_by_slice(s: SparkSession, d: str) -> DataFrame:
 
 def paired_bootstrap(s: SparkSession, d: str) -> DataFrame:
     runs, rel, cats = _runs(s, d)
-    got = metrics.paired_bootstrap(metrics.per_query(runs["short"], rel), metrics.per_query(runs["full"], rel), cats, resamples=200)
+    got = metrics.paired_bootstrap(metrics.per_query(runs["short"], rel), metrics.per_query(runs["full"], rel), cats)
     return got.select("scope", "n", F.round("delta", 6).alias("delta"), F.round("p_value", 6).alias("p_value"), (F.col("p_value") < 0.05).alias("significant"))
 
 

@@ -84,15 +84,24 @@ def _lines(spark: SparkSession, files: Sequence[str]) -> DataFrame:
 
 
 def is_json_file(name: Column) -> Column:
-    return reduce(lambda a, b: a | b, [name.endswith(s) for s in JSON_SUFFIXES])
+    return reduce(lambda a, b: a | b, [F.lower(name).endswith(s) for s in JSON_SUFFIXES])
+
+
+def _field(value: Column, key: str) -> Column:
+    """A field of a JSON object as text, the last of a repeated key; true and false as "True" and "False"."""
+    entries = F.filter(F.map_entries(F.from_json(value, "map<string,string>")), lambda e: e.key == key)
+    got = F.try_element_at(entries, F.lit(-1)).getField("value")
+    bare = value.rlike(f'"{key}"\\s*:\\s*(true|false)\\s*[,}}]')
+    return F.when(got.isin("true", "false") & bare, F.initcap(got)).otherwise(got)
 
 
 def _fields(value: Column, keys: Sequence[str]) -> list[Column]:
-    return [F.get_json_object(value, f"$['{k}']") for k in dict.fromkeys(keys)]
+    return [_field(value, k) for k in dict.fromkeys(keys)]
 
 
 def _json_ok(value: Column) -> Column:
-    return F.try_parse_json(value).isNotNull()
+    """Whether a line is a JSON object, also one that repeats a key."""
+    return F.from_json(value, "map<string,string>").isNotNull()
 
 
 def last_wins(rows: DataFrame, key: str, values: Sequence[str], order: Sequence[str] = ("file", "line_ord")) -> DataFrame:
@@ -115,11 +124,12 @@ def read_corpus(spark: SparkSession, files: Sequence[str]) -> DataFrame:
 
 
 def parse_topics(lines: DataFrame) -> DataFrame:
+    """(qid, query): JSON records count if both are there; a tab-separated line always does, also one whose query is empty."""
     v = F.col("value")
     json = lines.where(is_json_file(F.col("file")) & _json_ok(v)).select("file", "line_ord", first_present(*_fields(v, TOPIC_ID_KEYS)).alias("qid"), first_present(*_fields(v, TOPIC_TEXT_KEYS)).alias("query"))
     part = F.split(v, "\t")
     tsv = lines.where(~is_json_file(F.col("file")) & (F.size(part) >= 2)).select("file", "line_ord", part[0].alias("qid"), part[1].alias("query"))
-    return last_wins(json.unionByName(tsv).where("qid <> '' AND query <> ''"), "qid", ["query"])
+    return last_wins(json.where("qid <> '' AND query <> ''").unionByName(tsv), "qid", ["query"])
 
 
 def read_topics(spark: SparkSession, files: Sequence[str]) -> DataFrame:
@@ -169,7 +179,7 @@ def read_ood_qrels(spark: SparkSession, files: Sequence[str]) -> DataFrame:
     v = F.col("value")
     rel = F.coalesce(F.get_json_object(v, "$.relevance").try_cast("double"), F.lit(0.0))
     rows = _lines(spark, files).select(F.get_json_object(v, "$.query_id").alias("qid"), F.get_json_object(v, "$.passage_id").alias("doc_id"), rel.alias("rel"))
-    return rows.where("rel > 0 AND qid IS NOT NULL AND doc_id IS NOT NULL").select("qid", "doc_id").distinct()
+    return rows.where("rel > 0 AND NOT isnan(rel) AND qid IS NOT NULL AND doc_id IS NOT NULL").select("qid", "doc_id").distinct()
 
 
 def read_query_file(spark: SparkSession, files: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -196,8 +206,11 @@ PAIR_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in ("query",
 
 
 def read_pairs(spark: SparkSession, files: Sequence[str]) -> DataFrame:
-    """Pair records; a line that is not JSON is fatal."""
-    return spark.read.schema(PAIR_SCHEMA).option("mode", "FAILFAST").json(list(files))
+    """Pair records with all their fields, those of PAIR_SCHEMA and whatever else the files have, which are looked through
+    for it first; a line that is not JSON is fatal."""
+    found = spark.read.option("mode", "FAILFAST").json(list(files)).schema
+    more = [f for f in found if f.name not in PAIR_SCHEMA.names]
+    return spark.read.schema(T.StructType([*PAIR_SCHEMA, *more])).option("mode", "FAILFAST").json(list(files))
 
 
 def read_done_ids(spark: SparkSession, path: str, key: str = "passage_id") -> DataFrame:

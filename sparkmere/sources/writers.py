@@ -16,6 +16,11 @@ def write_report(report: DataFrame, path: str) -> None:
     report.select(F.to_json(F.struct(*report.columns), {"pretty": "true"}).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
+def append_verbatim(spark, files: list[str], path: str) -> None:
+    """The lines of `files`, blank ones aside, added to a folder of JSON lines as they stand."""
+    spark.read.text(files).where(F.trim("value") != "").write.mode("append").text(path)
+
+
 def ids_only(mined: DataFrame) -> DataFrame:
     """Mined pairs without their texts: (query, positive_id, negative_ids, category)."""
     from sparkmere.functions.text import first_present

@@ -65,7 +65,20 @@ def test_other_readers(spark, tmp_path):
     (tmp_path / "s.json").write_text('{"books": "book"}')
     assert rows(readers.read_stems(spark, str(tmp_path / "s.json"))) == [("books", "book")]
     (tmp_path / "t.tsv").write_text("q\tone\nq\ttwo\nz\t\n")
-    assert rows(readers.read_topics(spark, [str(tmp_path / "t.tsv")])) == [("q", "two")]
+    assert rows(readers.read_topics(spark, [str(tmp_path / "t.tsv")])) == [("q", "two"), ("z", "")]
+    (tmp_path / "u.JSONL").write_text('{"id":"1","text":"a","text":"b","title":true}\n{"id":2,"text":""}\n{"id":2,"text":null,"body":"x"}\n[1]\n')
+    assert rows(readers.read_corpus(spark, [str(tmp_path / "u.JSONL")])) == [("1", "True", "b"), ("2", "", "x")]
+    (tmp_path / "n.jsonl").write_text('{"query_id":"1","passage_id":"a","relevance":"NaN"}\n{"query_id":"1","passage_id":"b","relevance":0.5}\n')
+    assert rows(readers.read_ood_qrels(spark, [str(tmp_path / "n.jsonl")])) == [("1", "b")]
+    (tmp_path / "w.jsonl").write_text('{"query":"q","positive":"p","negatives":["n"],"extra":{"deep":[1,2]},"score":1.5}\n')
+    whole = readers.read_pairs(spark, [str(tmp_path / "w.jsonl")])
+    assert json.loads(whole.toJSON().first()) == {"query": "q", "positive": "p", "negatives": ["n"], "extra": {"deep": [1, 2]}, "score": 1.5}
+    from sparkmere.sources import writers
+
+    writers.write_jsonl(whole, str(tmp_path / "out"))
+    writers.append_verbatim(spark, [str(tmp_path / "w.jsonl")], str(tmp_path / "out"))
+    lines = [r.value for r in spark.read.text(str(tmp_path / "out")).collect()]
+    assert len(lines) == 2 and (tmp_path / "w.jsonl").read_text().strip() in lines
     (tmp_path / "e.jsonl").write_text('{"query_id":"1","query":"x","category":"natural","relevant_ids":["a","b","a"]}\n')
     q, rel = readers.read_query_file(spark, [str(tmp_path / "e.jsonl")])
     assert rows(q) == [("1", "x", "natural")] and rows(rel) == [("1", "a"), ("1", "b")]
