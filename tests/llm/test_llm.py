@@ -634,6 +634,18 @@ def test_awkward(spark, awkward, name):
     assert OPS[name](awkward, b.where("false")).count() >= 0
 
 
+def test_text_ids(spark, docs):
+    """Ids that are texts give what numbers of the same order give."""
+    d = docs.where("doc_id < 60").select(F.format_string("d%03d", "doc_id").alias("doc_id"), "text", "source")
+    n = docs.where("doc_id < 60").select("doc_id", "text", "source")
+    name = lambda i: f"d{i:03d}"
+    near = {(name(r.doc_id), name(r.class_id)) for r in neardup.near_duplicates(n).collect()}
+    assert {(r.doc_id, r.class_id) for r in neardup.near_duplicates(d).collect()} == near
+    spans = {(name(r.doc_id), r.start, r.stop) for r in repeats.repeated_passages(n).collect()}
+    assert {(r.doc_id, r.start, r.stop) for r in repeats.repeated_passages(d).collect()} == spans
+    assert {r.doc_id for r in hpylm.score_corpus(d).collect()} == {r.doc_id for r in mixing.mix(d).collect()} == {r.id for r in tokens.training_order(d, seq_len=64).collect()} == {r.doc_id for r in sharding.assign_shards(d).collect()} == {name(i) for i in range(60)}
+
+
 def test_awkward_results(spark, awkward):
     near = {(r.doc_id, r.class_id) for r in neardup.near_duplicates(awkward).collect()}
     assert {(1, 1), (2, 2), (3, 2), (4, 4), (5, 5), (6, 5), (None, None)} <= near
