@@ -15,7 +15,7 @@ def expand_ids(ids: DataFrame, corpus: DataFrame, key: str = "pair_id") -> DataF
     rows = ids.select(key, F.posexplode("negative_ids").alias("pos", "doc_id")).join(texts, "doc_id", "left")
     lists = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("pos", "text")))).alias("n"), F.count_if(F.col("text").isNull()).alias("miss_neg"))
     lists = lists.select(key, F.transform("n", lambda x: x.text).alias("negatives"), "miss_neg")
-    pos = ids.join(texts.select(F.col("doc_id").alias("positive_id"), F.col("text").alias("positive")), "positive_id")
+    pos = ids.drop("positive").join(texts.select(F.col("doc_id").alias("positive_id"), F.col("text").alias("positive")), "positive_id")
     out = pos.drop("negatives").join(lists, key, "left")
     return out.select(key, "query", "positive", F.coalesce("negatives", F.array().cast("array<string>")).alias("negatives"), "category", F.coalesce("miss_neg", F.lit(0)).alias("miss_neg"))
 
