@@ -76,3 +76,8 @@ def eval_table(systems: dict[str, DataFrame], qrels: DataFrame, categories: Data
 def rank_models(table: DataFrame, value: str) -> DataFrame:
     """Models by value, best first, those without one last."""
     return table.orderBy(F.col(value).desc_nulls_last(), "model")
+
+
+def compact(results: DataFrame, run: str = "run") -> DataFrame:
+    """Results without their ranked lists, as reports keep them."""
+    return results.drop(run)

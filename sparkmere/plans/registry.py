@@ -10,7 +10,7 @@ from sparkmere.operators import assemble, dense, fusion, lexical, metrics, minin
 from sparkmere.sources import readers, writers
 
 from . import bindings as T
-from .oracles import ORACLE_SQL
+from . import files, oracles
 
 NEAR = 0.1
 
@@ -236,4 +236,5 @@ def model_ranking(s: SparkSession, d: str) -> DataFrame:
 
 
 _ALL = (tokenize_docs, shingle_counts, scalar_functions, norm_titles_overlap, article_id_overlap, near_dup_benchmark, near_dup_best, overlap_cascade, overlap_report, clean_negatives, build_pairs, pair_stats, corpus_last_wins, qrels_split, loader_lines, candidate_pool, resume_filter, prompt_batches, synth_unpivot, term_df, doc_stats, idf_table, bm25_topk, bm25_stemmed_topk, mine_negatives, mined_ids_artifact, assemble_train, triplets, train_pairs, train_stats, dense_topk, rrf_fusion, ndcg_mrr_recall_by_slice, paired_bootstrap, eval_table, tier_counts, model_ranking)
-QUERIES = {f.__name__: f for f in _ALL}
+QUERIES = {f.__name__: f for f in _ALL} | files.QUERIES
+ORACLE_SQL = oracles.ORACLE_SQL | files.SQL

@@ -38,3 +38,19 @@ def console_table(rows: DataFrame, p_col: str = "p_value", delta_col: str = "del
     if p_col in rows.columns:
         parts += [F.lpad(F.format_string("%.3f", F.col(p_col)), 8, " "), F.when(F.col(p_col) < 0.05, "*").otherwise(" ")]
     return rows.select(F.concat(*parts).alias("line"))
+
+
+def write_named(lines: DataFrame, folder: str, name: str) -> None:
+    """Lines (value) as data files under a name that readers go by, numbered before its suffixes; one a partition, gzipped
+    if the name says so."""
+    spark = lines.sparkSession
+    stem, _, suffix = name.partition(".")
+    own = f"{folder}/_{stem}"
+    lines.select("value").write.option("compression", "gzip" if name.endswith(".gz") else "none").text(own)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(own).getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = sorted(n for f in fs.listStatus(path(own)) if (n := f.getPath().getName()).startswith("part-"))
+    for k, part in enumerate(parts):
+        if not fs.rename(path(f"{own}/{part}"), path(f"{folder}/{stem}-{k:05d}.{suffix}")):
+            raise OSError(f"{folder}/{stem}-{k:05d}.{suffix} can't be written")
+    fs.delete(path(own), True)

@@ -4,10 +4,10 @@ from pathlib import Path
 
 import pytest
 
-from sparkmere.plans import registry
+from sparkmere.plans import files, registry
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["tokenize_docs", "scalar_functions", "build_pairs", "pair_stats", "qrels_split", "loader_lines", "synth_unpivot", "bm25_topk", "mine_negatives", "rrf_fusion", "ndcg_mrr_recall_by_slice", "clean_negatives"]
+NAMES = ["tokenize_docs", "scalar_functions", "build_pairs", "pair_stats", "qrels_split", "loader_lines", "synth_unpivot", "bm25_topk", "mine_negatives", "rrf_fusion", "ndcg_mrr_recall_by_slice", "clean_negatives", *files.QUERIES]
 
 
 def same(df, con, sql):
