@@ -30,6 +30,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 3
 #: Cells of a row of the sketch of document frequencies; idf's constant; the least share that is told from lesser ones.
 CELLS, SMOOTH, LEAST = 1 << 21, 1000.0, 0.001
+#: Texts are worked on in groups of so many bytes; so many words' hashes are remembered between groups.
+GROUP, MEMO = 1 << 20, 100_000
 #: Buckets of up to so many texts have all pairs tried.
 SMALL = 12
 #: A shingle that at most so many of the texts in large buckets have is rare.
@@ -84,12 +86,12 @@ def document_frequencies(texts: DataFrame) -> Idf:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, n, memo = np.zeros((2, CELLS), np.uint32), 0, {}
         for batch in batches:
-            for _, raws in groups(batch, "_text"):
+            for _, raws in groups(batch, "_text", GROUP):
                 _, s, _ = _features(raws, memo)
                 for row, cell in enumerate(_cells(s)):
                     np.add.at(table[row], cell, np.uint32(1))
                 n += len(raws)
-                if len(memo) > 300_000:
+                if len(memo) > MEMO:
                     memo.clear()
         if n:
             salt = TaskContext.get().partitionId() % salts
@@ -156,9 +158,9 @@ def signatures(texts: DataFrame, side: tuple[str, str], idf) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict = {}
         for batch in marked(batches, side):
-            for first, raws in groups(batch, "_text"):
+            for first, raws in groups(batch, "_text", GROUP):
                 of, s, count = _features(raws, memo)
-                if len(memo) > 300_000:
+                if len(memo) > MEMO:
                     memo.clear()
                 sig = sample(of, s, _weights(s, count, idf.value), len(raws))
                 has = np.unique(of)
@@ -220,7 +222,7 @@ def verify(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict = {}
         for batch in batches:
-            for first, left in groups(batch, "ta", 1 << 20):
+            for first, left in groups(batch, "ta", GROUP):
                 right = [(x.as_py() or "").encode() for x in batch.column("tb").slice(first, len(left))]
                 sides = []
                 for raws in (left, right):
@@ -232,7 +234,7 @@ def verify(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFra
                 both = np.bincount(oa, wa, len(left)) + np.bincount(ob, wb, len(left))
                 sim = low / np.maximum(both - low, 1e-300)
                 ok = np.flatnonzero(sim >= threshold)
-                if len(memo) > 300_000:
+                if len(memo) > MEMO:
                     memo.clear()
                 part = batch.slice(first, len(left)).take(pa.array(ok))
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(sim[ok])], names=["a", "b", "similarity"])
@@ -247,9 +249,11 @@ def own_mass(texts: DataFrame, idf) -> tuple[DataFrame, DataFrame]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict = {}
         for batch in batches:
-            for first, raws in groups(batch, "_text"):
+            for first, raws in groups(batch, "_text", GROUP):
                 of, s, count = _features(raws, memo)
                 w = _weights(s, count, idf.value)
+                if len(memo) > MEMO:
+                    memo.clear()
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(first, len(raws)).take(pa.array(of)), pa.array(s.astype(np.int64)), pa.array(w)], names=["id", "s", "w"])
 
     rows = texts.mapInArrow(run, "id long, s long, w double")

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from .store import materialise, new_path, put_file, read_file
 
 BLOCK_BITS = 16
+#: Rows of a batch that are filtered, and so copied, at a time.
+SLICE = 1024
 _SCANS = {"Project", "Filter", "SubqueryAlias", "LogicalRelation"}
 
 
@@ -127,8 +129,8 @@ def with_side(rows: DataFrame, side: tuple[str, str]) -> DataFrame:
 def marked(batches: Iterator[pa.RecordBatch], side: tuple[str, str]) -> Iterator[pa.RecordBatch]:
     """`with_side` inside a task that takes the rows (file, row, ...) in Arrow anyway: the rows that have a value, with it."""
     found = _Side(side[0])
-    for batch in batches:
-        if len(batch):
+    for whole_batch in batches:
+        for first in range(0, len(whole_batch), SLICE):
+            batch = whole_batch.slice(first, SLICE)
             value = found.look(batch.column("file").to_numpy(), batch.column("row").to_numpy())
-            keep = value.is_valid()
-            yield pa.RecordBatch.from_arrays([*batch.columns, value], names=[*batch.schema.names, "value"]).filter(keep)
+            yield pa.RecordBatch.from_arrays([*batch.columns, value], names=[*batch.schema.names, "value"]).filter(value.is_valid())
