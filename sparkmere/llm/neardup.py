@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .places import field, located, marked, unpacked, with_side, write_side
-from .store import materialise
+from .store import job_settings, materialise
 from .words import U64, groups, mix, shingles, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -112,7 +112,8 @@ def document_frequencies(texts: DataFrame) -> Idf:
     schema = "part int, counts binary"
     got = texts.select("_text").mapInArrow(count, "part int, salt int, counts binary")
     got = got.groupBy("part", "salt").applyInArrow(add, schema).groupBy("part").applyInArrow(add, schema)
-    found = {r.part: bytes(r.counts) for r in got.collect()}
+    with job_settings(texts.sparkSession):
+        found = {r.part: bytes(r.counts) for r in got.collect()}
     if not found:
         return Idf(np.zeros((2, CELLS), np.uint32), 0)
     table = np.concatenate([np.frombuffer(zstandard.decompress(found[i]), np.uint32) for i in range(parts)]).reshape(2, CELLS)

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: A side is marked for broadcast if it takes up to so many bytes, which are measured first.
 BROADCAST_BYTES = 64 << 20
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: What a batch for a Python worker takes, about, where the session sets no limit of its own.
+_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,18 +40,24 @@ _told: set[str] = set()
 
 
 @contextmanager
-def _early_cleanup(spark: SparkSession):
-    """Shuffle files of the jobs inside go as soon as each job has ended, where this Spark can do so."""
-    before = None
+def job_settings(spark: SparkSession):
+    """For the jobs inside: shuffle files go as soon as each job has ended, where this Spark can do so, and batches for
+    Python workers are bounded in bytes, so that what a worker and the JVM hold of them doesn't grow with the texts."""
+    before = {k: spark.conf.get(k, None) for k in (_CLEANUP, _BATCH)}
     with suppress(Exception):
-        before = spark.conf.get(_CLEANUP)
         spark.conf.set(_CLEANUP, "true")
+    if before[_BATCH] is None:
+        with suppress(Exception):
+            spark.conf.set(_BATCH, str(BATCH_BYTES))
     try:
         yield
     finally:
-        with suppress(Exception):
-            if before is not None:
-                spark.conf.set(_CLEANUP, before)
+        for k, value in before.items():
+            with suppress(Exception):
+                if value is None:
+                    spark.conf.unset(k)
+                else:
+                    spark.conf.set(k, value)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -66,7 +74,7 @@ def write_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     too; the files go when the application ends, or before by `drop_path`."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    with _early_cleanup(spark):
+    with job_settings(spark):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
