@@ -286,6 +286,9 @@ def _links_in_large(large: DataFrame, sigs: DataFrame, corpus: Corpus, idf, thre
     order = F.struct((F.col("total") - F.col("shared")) / F.col("total"), F.col("id"))
     lead = rows.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "id", "total", "shared")).alias("m")).select("bucket", F.col("m.id").alias("lid"), F.col("m.total").alias("lt"), F.col("m.shared").alias("ls"))
 
+    # A table of its own: the join after it is then of two plain inputs, so that the rows of a hot bucket can be split.
+    lead = materialise(lead, "neardup-leaders")
+
     def bounded(wa, sa, wb, sb):
         m = F.least(sa, sb)
         return m >= F.lit(threshold) * (wa + wb - m) * F.lit(1 - 1e-9)
@@ -295,11 +298,14 @@ def _links_in_large(large: DataFrame, sigs: DataFrame, corpus: Corpus, idf, thre
     stars = materialise(agreeing(stars, sigs), "neardup-stars")
     links = materialise(verify(stars, texts, idf, threshold), "neardup-star-links")
     classes = components(ids, links)
-    rows = rows.join(classes.withColumnRenamed("class_id", "cls"), "id")
+    rows = materialise(rows.join(classes.withColumnRenamed("class_id", "cls"), "id"), "neardup-classed")
     main = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi")
-    rows = materialise(rows.join(main.select("bucket"), "bucket"), "neardup-open")
+    main = materialise(main.select("bucket"), "neardup-mixed")
+    rows = materialise(rows.join(main, "bucket"), "neardup-open")
     best = rows.groupBy("bucket", "cls").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max(F.struct("k", "cls")).alias("m")).select("bucket", F.col("m.cls").alias("main"))
+    best = materialise(best, "neardup-main")
     rest = rows.join(best, "bucket").where(F.col("cls") != F.col("main")).select("bucket", F.col("id").alias("x"), F.col("cls").alias("xc"), F.col("main"), F.col("total").alias("xt"), F.col("shared").alias("xs"))
+    rest = materialise(rest, "neardup-others")
     open_ = rest.join(rows, "bucket").where((F.col("cls") != F.col("xc")) & ((F.col("cls") == F.col("main")) | (F.col("id") < F.col("x"))) & bounded(F.col("total"), F.col("shared"), F.col("xt"), F.col("xs")))
     more = materialise(agreeing(open_.select(*pair(F.col("id"), F.col("x"))).distinct(), sigs), "neardup-rest")
     return links.unionByName(verify(more, texts, idf, threshold))
