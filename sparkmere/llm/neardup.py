@@ -198,7 +198,7 @@ class Corpus:
         narrow = self.rows.select("file", "row", field(id_col).alias("id"), F.md5(text.cast("binary")).alias("code"), F.monotonically_increasing_id().alias("nid"))
         self.coded = materialise(narrow, "neardup-codes")
         known = self.coded.where("id IS NOT NULL")
-        first = known.groupBy("code").agg(F.min("nid").alias("node"), F.min("id").alias("copy_of"))
+        first = materialise(known.groupBy("code").agg(F.min("nid").alias("node"), F.min("id").alias("copy_of")), "neardup-different")
         self.nodes = materialise(known.join(first, "code"), "neardup-nodes")
         self.first = self.nodes.where("nid = node").select("node", "copy_of")
 
