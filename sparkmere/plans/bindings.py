@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkmere.operators.metrics import Classes
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -60,11 +62,11 @@ def stems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.select("word", F.regexp_replace("word", "(tion|ing|er|en|es|ed)$", "").alias("stem")).where("stem <> ''")
 
 
-def vectors(spark: SparkSession, sf_dir: str, dims: int = 64) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Queries, passages, judgements and categories of the embeddings, on their first `dims` places: every vector whose id is
-    divisible by 100 against all vectors."""
+def vectors(spark: SparkSession, sf_dir: str, dims: int = 64) -> tuple[DataFrame, DataFrame, Classes, DataFrame]:
+    """Queries, passages, judgements (a query's are the passages of its label) and categories of the embeddings, on their
+    first `dims` places: every vector whose id is divisible by 100 against all vectors."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, dims).alias("vec"), "label")
     q, p = e.where("vec_id % 100 = 0"), e
-    rel = q.select(F.col("vec_id").alias("qid"), "label").join(p.select(F.col("vec_id").alias("doc_id"), "label"), "label").select("qid", "doc_id")
+    rel = Classes(q.select(F.col("vec_id").alias("qid"), "label"), p.select(F.col("vec_id").alias("doc_id"), "label"))
     kind = F.element_at(F.array(*[F.lit(x) for x in ("natural", "inflected", "vocab_gap")]), (F.col("vec_id") % 3 + 1).cast("int"))
     return q.select(F.col("vec_id").alias("qid"), "vec"), p.select(F.col("vec_id").alias("doc_id"), "vec"), rel, q.select(F.col("vec_id").alias("qid"), kind.alias("category"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkmere.functions import text as X
 from sparkmere.operators import assemble, dense, fusion, lexical, metrics, mining, overlap, pairs, synth
+from sparkmere.operators.metrics import Classes
 from sparkmere.sources import readers, writers
 
 from . import bindings as T
@@ -197,30 +198,33 @@ def dense_topk(s: SparkSession, d: str) -> DataFrame:
     return _ranked(dense.dense_topk(q, p, 100))
 
 
-def _runs(s: SparkSession, d: str) -> tuple[dict[str, DataFrame], DataFrame, DataFrame]:
-    (q, p, rel, cats), (q16, p16, _, _) = T.vectors(s, d), T.vectors(s, d, 16)
-    (q8, p8, _, _) = T.vectors(s, d, 8)
-    a, b, c = dense.dense_topk(q, p, 100), dense.dense_topk(q16, p16, 100), dense.dense_topk(q8, p8, 100)
-    return {"full": a, "short": b, "tiny": c, "fused": fusion.rrf(a, b)}, rel, cats
+def _runs(s: SparkSession, d: str, *names: str) -> tuple[dict[str, DataFrame], Classes, DataFrame]:
+    """Runs of these names, and what they need: vectors are searched as a run is made."""
+    _, _, rel, cats = T.vectors(s, d)
+    need = {*names, *(("full", "short") if "fused" in names else ())}
+    runs = {x: dense.dense_topk(*T.vectors(s, d, dims)[:2], 100) for x, dims in (("full", 64), ("short", 16), ("tiny", 8)) if x in need}
+    if "fused" in names:
+        runs["fused"] = fusion.rrf(runs["full"], runs["short"])
+    return {x: runs[x] for x in names}, rel, cats
 
 
 def rrf_fusion(s: SparkSession, d: str) -> DataFrame:
-    return _ranked(_runs(s, d)[0]["fused"])
+    return _ranked(_runs(s, d, "fused")[0]["fused"])
 
 
 def ndcg_mrr_recall_by_slice(s: SparkSession, d: str) -> DataFrame:
-    runs, rel, cats = _runs(s, d)
+    runs, rel, cats = _runs(s, d, "full")
     return metrics.evaluate(runs["full"], rel, cats).select("scope", "n", *[F.round(c, 6).alias(c) for c in ("ndcg", "rr", "recall")])
 
 
 def paired_bootstrap(s: SparkSession, d: str) -> DataFrame:
-    runs, rel, cats = _runs(s, d)
+    runs, rel, cats = _runs(s, d, "short", "full")
     got = metrics.paired_bootstrap(metrics.per_query(runs["short"], rel), metrics.per_query(runs["full"], rel), cats)
     return got.select("scope", "n", F.round("delta", 6).alias("delta"), F.round("p_value", 6).alias("p_value"), (F.col("p_value") < 0.05).alias("significant"))
 
 
 def eval_table(s: SparkSession, d: str) -> DataFrame:
-    runs, rel, cats = _runs(s, d)
+    runs, rel, cats = _runs(s, d, "full", "short", "tiny", "fused")
     return metrics.eval_table(runs, rel, cats).select("scope", *[F.round(c, 6).alias(c) for c in runs])
 
 
