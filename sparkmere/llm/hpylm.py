@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .places import quoted
 from .seating import draw_tables
-from .store import drop_path, materialise, new_path, put_file, read_file, write_table
+from .store import drop_path, new_path, put_file, read_file, write_worked
 from .words import U64, mix
 
 BLOCK_TOKENS, RANGE_TOKENS = 2_000_000, 2_000_000
@@ -81,7 +81,7 @@ def held_out(id_col: Column) -> Column:
 
 
 def make_blocks(rows: DataFrame, path: str) -> DataFrame:
-    """(block, n_tokens) of rows (id string, held boolean, text); a block's contents are the file block-N under `path`:
+    """(block, n_tokens), a written table, of rows (id string, held boolean, text); a block's contents are the file block-N under `path`:
     ids, held, tokens a text, tokens as indices of the vocabulary (0 end, 1 start), the vocabulary's hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +117,7 @@ def make_blocks(rows: DataFrame, path: str) -> DataFrame:
         if state[1]:
             yield flush(*state)
 
-    return rows.mapInArrow(run, "block long, n_tokens long")
+    return write_worked(rows, run, "block long, n_tokens long", "lm-blocks")[0]
 
 
 def part_of(h: np.ndarray, n: int) -> np.ndarray:
@@ -218,13 +218,24 @@ def deliver(sent: DataFrame, n: int, numbered: bool = True) -> DataFrame:
     return dealt.sortWithinPartitions("to", "kind", "src")
 
 
-def exchange(sent: DataFrame, n: int, work: Callable[[int, list[tuple]], Iterator[tuple]], numbered: bool = True) -> DataFrame:
-    """What `work` (target, its messages) sends on, for each of n targets."""
+Work = Callable[[int, list[tuple]], Iterator[tuple]]
+
 
+def _worked(work: Work) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _in_batches(row for to, held in _by_target(batches) for row in work(to, held))
 
-    return deliver(sent, n, numbered).mapInArrow(run, SENT)
+    return run
+
+
+def exchange(sent: DataFrame, n: int, work: Work, numbered: bool = True) -> DataFrame:
+    """What `work` (target, its messages) sends on, for each of n targets."""
+    return deliver(sent, n, numbered).mapInArrow(_worked(work), SENT)
+
+
+def exchange_to(name: str, sent: DataFrame, n: int, work: Work) -> tuple[DataFrame, str]:
+    """`exchange` to numbered targets, its messages written as a table; its path too."""
+    return write_worked(deliver(sent, n), _worked(work), SENT, name)
 
 
 def parent_probability(customers, tables, all_customers: int, all_tables: int, n_vocab: int, discount: float, strength: float):
@@ -426,7 +437,7 @@ def score_corpus(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     path = new_path(spark, "lm")
     rows = docs.select(quoted(id_col).cast("string").alias("id"), held_out(quoted(id_col)).alias("held"), quoted(text_col).alias("text"))
     kind = dict(docs.select(quoted(id_col).alias("id")).dtypes)["id"]
-    blocks = materialise(make_blocks(rows, path), "lm-blocks")
+    blocks = make_blocks(rows, path)
     total, n_blocks = blocks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.count("*")).first()
     n = max(1, -(-total // RANGE_TOKENS))
     task = Sampler(path, n, discount, strength, seed, burn, samples)
@@ -442,20 +453,22 @@ def score_corpus(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         return int(got[0]), int(got[1])
 
     words = blocks.repartition(max(1, n_blocks), "block").mapInArrow(send_words, SENT)
-    told, told_path = write_table(exchange(words, n, task.number), "lm-numbers")
+    told, told_path = exchange_to("lm-numbers", words, n, task.number)
     n_vocab, trained = sums(told)
     # The pairs aren't written beside the shuffle that brings them to their ranges.
-    up, up_path = write_table(exchange(exchange(told, n_blocks, task.pairs_of, numbered=False), n, task.gather), "lm-up")
+    up, up_path = exchange_to("lm-up", exchange(told, n_blocks, task.pairs_of, numbered=False), n, task.gather)
     drop_path(spark, told_path)
     totals = (0, 0)
     for sweep in range(burn + samples + 1):
         before = n_vocab, totals[1]
-        down, down_path = write_table(exchange(up, n, lambda q, m, k=sweep, b=before: task.add_up(q, m, k, b)), "lm-down")
+        down, down_path = exchange_to("lm-down", up, n, lambda q, m, k=sweep, b=before: task.add_up(q, m, k, b))
         totals = sums(down)
         drop_path(spark, up_path)
-        up = exchange(down, n, lambda r, m, k=sweep, a=totals: task.draw(r, m, k, a, n_vocab))
-        if sweep < burn + samples:
-            up, up_path = write_table(up, "lm-up")
+        draw = lambda r, m, k=sweep, a=totals: task.draw(r, m, k, a, n_vocab)
+        if sweep == burn + samples:
+            up = exchange(down, n, draw)
+        else:
+            up, up_path = exchange_to("lm-up", down, n, draw)
             drop_path(spark, down_path)
             if 0 < sweep <= burn:
                 drop_path(spark, task._of(sweep - 1))
@@ -464,5 +477,8 @@ def score_corpus(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         for block, held in _by_target(batches):
             yield task.score(block, held, n_vocab, trained)
 
-    scored = deliver(up, n_blocks, numbered=False).mapInArrow(score, "id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    # A narrow table: whoever writes the result does so from few files, beside no model.
+    scored, _ = write_worked(deliver(up, n_blocks, numbered=False), score, "id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double", "lm-scores")
+    drop_path(spark, down_path)
+    drop_path(spark, path)
     return scored.select(F.col("id").cast(kind).alias(id_col), *NAMES[1:], F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))

@@ -5,8 +5,11 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager, suppress
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,6 +74,38 @@ def write_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def write_worked(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, name: str) -> tuple[DataFrame, str]:
+    """The rows that `work` makes of the batches of `df`, as a table in the shared folder, and its path, as of `write_table`.
+
+    The Python tasks write the files, each one under its partition's number, so a repeated task leaves the same file. For
+    files and folders of its own the JVM starts a process each (chmod), which shares all of the JVM's memory until it runs.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, name)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs, parquet
+
+        system, top = fs.FileSystem.from_uri(path)
+        part, out = f"part-{TaskContext.get().partitionId():08d}.parquet", None
+        own = f"{top}/.{part}.{uuid.uuid4().hex}"
+        for batch in work(batches):
+            if out is None:
+                system.create_dir(top, recursive=True)
+                file = system.open_output_stream(own)
+                out = parquet.ParquetWriter(file, batch.schema, compression="zstd", use_dictionary=False, write_statistics=False)
+            out.write_batch(batch)
+        if out is not None:
+            out.close()
+            file.close()
+            system.move(own, f"{top}/{part}")
+        yield pa.RecordBatch.from_pydict({"n": pa.array([int(out is not None)], pa.int64())})
+
+    with _early_cleanup(spark):
+        files = df.mapInArrow(run, "n long").agg(F.sum("n")).first()[0]
+    return spark.read.schema(schema).parquet(path) if files else spark.createDataFrame([], schema), path
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """`write_table` without the path."""
     return write_table(df, name)[0]

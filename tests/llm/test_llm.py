@@ -10,11 +10,12 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sparkmere.llm import chat, components, decontamination, hpylm, mixing, neardup, quality, queries, repeats, seating, secrets, sharding, tokens
+from sparkmere.llm import chat, components, decontamination, hpylm, mixing, neardup, quality, queries, repeats, seating, secrets, sharding, store, tokens
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -547,6 +548,26 @@ def test_language_model_against_single_seating(spark):
     assert abs(np.mean(ratio) - 1) < 0.005 and np.abs(np.array(ratio) - 1).max() < 0.03
 
 
+def test_model_tables_are_not_written_by_the_jvm(spark, docs):
+    """For each file and folder that it makes, the JVM starts a process that shares all its memory: counted twice, an executor went over its limit."""
+    top = Path(store.shared_dir(spark).removeprefix("file://"))
+    before = set(top.glob("*"))
+    got = hpylm.score_corpus(docs)
+    files = [p.name for d in set(top.glob("*")) - before for p in d.rglob("*")]
+    assert files and not [x for x in files if x == "_SUCCESS" or x.startswith("_temporary") or x.endswith(".crc")]
+    # What is left is the result, which can be read again.
+    assert got.count() == got.count() == docs.count()
+
+    def work(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"x": b.column("id"), "y": pa.array([b"y" * i for i in b.column("id").to_pylist()], pa.binary())})
+
+    table, path = store.write_worked(spark.range(0, 7, 1, 3), work, "x long, y binary", "made")
+    assert sorted((r.x, len(r.y)) for r in table.collect()) == [(i, i) for i in range(7)]
+    assert sorted(p.name for p in Path(path.removeprefix("file://")).iterdir()) == [f"part-{i:08d}.parquet" for i in range(3)]
+    assert store.write_worked(spark.range(0), work, "x long, y binary", "made")[0].collect() == []
+
+
 def test_probabilities_sum_to_one():
     rng = np.random.default_rng(3)
     vocab = 500
