@@ -111,6 +111,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return write_table(df, name)[0]
 
 
+def run_and_sum(df: DataFrame, column: str) -> int:
+    """Run `df`, whose Python tasks leave files of their own, and give the sum of `column`. No table is written for it."""
+    with _early_cleanup(df.sparkSession):
+        return df.agg(F.sum(column)).first()[0] or 0
+
+
 def measured_bytes(df: DataFrame) -> int:
     """What the rows of `df` take in memory: 16 bytes a row, 8 a number, and the lengths of texts and arrays."""
     flat, long = 0, F.lit(0).cast("long")

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .places import quoted
-from .store import materialise, new_path, put_file, read_file
+from .store import drop_path, materialise, new_path, put_file, read_file, run_and_sum, write_table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -184,7 +184,7 @@ def place_sequences(seqs: DataFrame, *, shard_records: int = SHARD_RECORDS, key:
     narrow = seqs.select(*order, "row", "n_tokens")
     parts = max(int(seqs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-seqs.count() // 500_000))
     at = F.monotonically_increasing_id()
-    ranked = materialise(narrow.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", at), "tokens-ranked")
+    ranked, ranked_path = write_table(narrow.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", at), "tokens-ranked")
     ranked = ranked.withColumn("_p", F.shiftrightunsigned("_at", 33)).withColumn("_i", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
     ahead = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sums = materialise(ranked.groupBy("_p").agg(F.count("*").alias("_n")).select("_p", "_n", ahead.alias("_base")), "tokens-partitions")
@@ -192,7 +192,9 @@ def place_sequences(seqs: DataFrame, *, shard_records: int = SHARD_RECORDS, key:
     numbered = ranked.join(F.broadcast(sums.drop("_n")), "_p").withColumn("number", (F.col("_base") + F.col("_i")).cast("long"))
     placed = permute(numbered.select("dealt", "row", "id", "part", "n_tokens", "number"), n, "number", key)
     placed = placed.withColumn("shard", F.floor(F.col("slot") / shard_records).cast("long")).withColumn("record", F.pmod("slot", F.lit(shard_records)).cast("long"))
-    return materialise(placed, "tokens-places"), n
+    placed = materialise(placed, "tokens-places")
+    drop_path(seqs.sparkSession, ranked_path)
+    return placed, n
 
 
 def write_places(placed: DataFrame) -> str:
@@ -205,7 +207,7 @@ def write_places(placed: DataFrame) -> str:
         put_file(path, f"{key[0].as_py()}.bin", [np.stack([table.column(c).to_numpy() for c in ("number", "slot")]).astype("<i8").tobytes()])
         return pa.table({"dealt": [key[0].as_py()], "n": [len(table)]})
 
-    materialise(placed.select("dealt", "row", "number", "slot").groupBy("dealt").applyInArrow(write, "dealt long, n long"), "tokens-written")
+    run_and_sum(placed.select("dealt", "row", "number", "slot").groupBy("dealt").applyInArrow(write, "dealt long, n long"), "n")
     return path
 
 
@@ -256,20 +258,36 @@ def training_order(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     return by_slot(rows, n, shard_records)
 
 
+def runs_of_slots(n: int, shard_records: int = SHARD_RECORDS) -> list[tuple[int, int]]:
+    """(first, end) of at most WAVES runs of whole shards, each about twice the next.
+
+    A run's shuffle lies on disk beside all shards up to its end. So even if a shuffle takes as much as its shards, shards
+    and shuffle together never take more than all the shards and a fifteenth (and what rounding to whole shards adds); of
+    equal runs the last would add a fourth.
+    """
+    shards, whole = -(-n // shard_records), (1 << WAVES) - 1
+    ends = [min(n, -(-shards * (whole + 1 - (1 << (WAVES - k))) // whole) * shard_records) for k in range(WAVES + 1)]
+    return [(a, b) for a, b in zip(ends, ends[1:], strict=False) if a < b]
+
+
 def write_all_shards(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", seq_len: int = SEQ_LEN, shard_records: int = SHARD_RECORDS, key: str = KEY, vocabulary: str = VOCABULARY) -> tuple[str, DataFrame]:
     """Write the whole training order as raw shards with a manifest in the shared folder. Returns their path and the rows
     (id, part, n_tokens, number, slot, shard, record) by slot, without the payload.
 
-    Shards are written in WAVES runs of slots, so a shuffle holds only so large a part of the payload at a time.
+    Shards are written in runs of slots (`runs_of_slots`), so a shuffle holds only so large a part of the payload at a time.
+    The sequences' table goes when all shards are written.
     """
     spark = docs.sparkSession
-    seqs = materialise(sequences(docs, id_col=id_col, text_col=text_col, seq_len=seq_len, vocabulary=vocabulary), "tokens")
+    seqs, seqs_path = write_table(sequences(docs, id_col=id_col, text_col=text_col, seq_len=seq_len, vocabulary=vocabulary), "tokens")
     placed, n = place_sequences(seqs, shard_records=shard_records, key=key)
     places, path = write_places(placed), new_path(spark, "tokens-shards")
-    wave = -(-n // (WAVES * shard_records)) * shard_records
-    for first in range(0, n, max(wave, 1)):
-        rows = with_places(seqs, places, ("ids",), first, first + wave).select("slot", "ids")
-        materialise(write_raw_shards(rows, path, n, first=first, last=min(n, first + wave), shard_records=shard_records, seq_len=seq_len), "tokens-shards-written")
+    for first, end in runs_of_slots(n, shard_records):
+        rows = with_places(seqs, places, ("ids",), first, end).select("slot", "ids")
+        written = run_and_sum(write_raw_shards(rows, path, n, first=first, last=end, shard_records=shard_records, seq_len=seq_len), "n_records")
+        if written != end - first:
+            raise ValueError(f"{written} records of {end - first} were written")
+    for done in (seqs_path, places):
+        drop_path(spark, done)
     write_manifest(path, n, seq_len=seq_len, shard_records=shard_records, key=key, vocabulary=vocabulary)
     return path, by_slot(placed.drop("dealt", "row"), n, shard_records)
 

@@ -262,6 +262,32 @@ def test_token_query_writes_and_reads_shards(spark, docs, texts, monkeypatch):
     assert [r.slot for r in rows if after[r.slot] != r.ids_md5] == [5]
 
 
+def test_disk_of_token_shards(spark, docs, monkeypatch):
+    """Shards and the shuffle of a run's payload never take much more than all shards, tables that are read no more go, and
+    the shards are those of one run."""
+    ran, made = [], []
+    monkeypatch.setattr(tokens, "write_raw_shards", lambda *a, f=tokens.write_raw_shards, **k: (ran.append((k["first"], k["last"])), f(*a, **k))[1])
+    for module in (tokens, store):
+        monkeypatch.setattr(module, "new_path", lambda s, name, real=module.new_path: (made.append((name, real(s, name))), made[-1][1])[1])
+    path, rows = tokens.write_all_shards(docs, seq_len=64, shard_records=16)
+    n = rows.count()
+    assert [a for a, _ in ran] == [0, *(b for _, b in ran[:-1])] and ran[-1][1] == n and all(a % 16 == 0 for a, _ in ran)
+    assert n > 1000 and max(b + b - a for a, b in ran) <= n * 16 / 15 + 3 * 16
+    left = {name for name, p in made if Path(p.removeprefix("file://")).exists()}
+    assert "tokens-shards" in left and not left & {"tokens", "tokens-ranked", "tokens-files"}
+    read = lambda p: [(s, x.tolist()) for s, x in tokens.read_on(p)]
+    monkeypatch.setattr(tokens, "WAVES", 1)
+    assert read(path) == read(tokens.write_all_shards(docs, seq_len=64, shard_records=16)[0])
+
+
+@pytest.mark.parametrize("n", [0, 1, 16, 17, 33, 80, 1000, 68_719_476_737])
+def test_runs_of_slots(n):
+    got = tokens.runs_of_slots(n, 16)
+    assert [x for a, b in got for x in (a, b)] == ([0, *(x for _, b in got[:-1] for x in (b, b)), n] if n else [])
+    assert all(a < b and a % 16 == 0 for a, b in got) and len(got) <= tokens.WAVES
+    assert all(b + b - a <= n * 16 / 15 + 3 * 16 for a, b in got)
+
+
 def test_resumed_reading(spark, docs):
     """A reader that stops anywhere and goes on at its slot sees what one that never stopped sees; the input's split doesn't matter."""
     d = docs.select("doc_id", "text").limit(60)
